@@ -30,3 +30,13 @@ def public_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text by the multilingual ranks."""
+    import public_tokenizers
+
+    from . import bpe
+
+    return bpe.round_trip_digest(read_table(spark, sf_dir, "documents"), public_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
