@@ -40,3 +40,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.round_trip_digest(read_table(spark, sf_dir, "documents"), public_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from . import simhash
+
+    found = simhash.components(read_table(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select("doc_id", simhash.hex_digits(found.fp).alias("fingerprint"), "component_id")
