@@ -49,3 +49,16 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = simhash.components(read_table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", simhash.hex_digits(found.fp).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every text as token ids in ORC files and describe the documents as read back from them."""
+    import uuid
+
+    from . import tokenfiles
+    from .common import shared_dir
+
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write(read_table(spark, sf_dir, "documents"), path, public_file("byte_bpe_50k.json"), end_id=2)
+    return tokenfiles.checksums(tokenfiles.read(spark, path))
