@@ -62,3 +62,11 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     tokenfiles.write(read_table(spark, sf_dir, "documents"), path, public_file("byte_bpe_50k.json"), end_id=2)
     return tokenfiles.checksums(tokenfiles.read(spark, path))
+
+
+@query
+def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deal all documents to 40 shards that each match the mixture of sources."""
+    from . import interleave
+
+    return interleave.assign(read_table(spark, sf_dir, "documents"), shards=40)
