@@ -70,3 +70,12 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import interleave
 
     return interleave.assign(read_table(spark, sf_dir, "documents"), shards=40)
+
+
+@query
+def op2_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw the corpus anew at 95 % of the greatest source entropy, no source more than four times over."""
+    from . import mixture
+
+    docs = read_table(spark, sf_dir, "documents")
+    return mixture.realise(docs, mixture.word_count(docs["text"]), budget_ratio=1.0, target_entropy=0.95, max_repetition=4.0)
