@@ -79,3 +79,13 @@ def op2_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return mixture.realise(docs, mixture.word_count(docs["text"]), budget_ratio=1.0, target_entropy=0.95, max_repetition=4.0)
+
+
+@query
+def op5_langid_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones that aren't held out."""
+    from . import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit_on_rest(docs)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
