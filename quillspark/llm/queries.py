@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .linefreq import ORACLE as LINE_FREQUENCY_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,14 @@ def op5_langid_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit_on_rest(docs)
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdict for every document."""
+    from . import linefreq
+
+    return linefreq.judge(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_line_frequency"] = LINE_FREQUENCY_SQL
