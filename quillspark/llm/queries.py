@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .linefreq import ORACLE as LINE_FREQUENCY_SQL
+from .revisits import ORACLE as REVISITS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +102,18 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_line_frequency"] = LINE_FREQUENCY_SQL
+
+
+@query
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolve the not-modified answers among the captures that the pages give."""
+    from pyspark.sql import functions as F
+
+    from . import revisits
+
+    found = revisits.resolve(revisits.captures_of(read_table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return found.withColumn("headers", lines).withColumnRenamed("headers", "merged_headers")
+
+
+ORACLES["op7_revisits"] = REVISITS_SQL
