@@ -117,3 +117,15 @@ def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_revisits"] = REVISITS_SQL
+
+
+#: The key of the surrogates in the registered query; a deployment brings its own.
+SURROGATE_KEY = b"registered query"
+
+
+@query
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    from . import surrogates
+
+    return surrogates.replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
