@@ -129,3 +129,11 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import surrogates
 
     return surrogates.replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+@query
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding at cosine 0.98 within its label."""
+    from . import multiindex
+
+    return multiindex.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98, recall=1.0)
