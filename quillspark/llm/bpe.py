@@ -17,7 +17,9 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,25 +173,37 @@ def _piece_cache(path: str, pattern: str, make) -> PieceCache:
     return PieceCache(lambda texts: [make(tool.encode(x), tool) for x in texts])
 
 
-def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with an array<int> column of token ids."""
-    schema = docs.drop(out).withColumn(out, F.array().cast("array<int>")).schema
+def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs without text, with ids (array<int>), n_tokens (long) and lossless: whether the ids decode to the text."""
+    rest = docs.drop("ids", "n_tokens", "lossless")
+    schema = rest.drop("text").withColumns({"ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "lossless": F.lit(True)}).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(path, pattern)
-        cache = _piece_cache(path, pattern, lambda ids, _: ids)
-        for batch in batches:
-            rows = []
-            for x in batch[text]:
-                chunks = pieces(x or "")
-                if chunks is None:
-                    rows.append(tool.encode(x or ""))
-                else:
-                    cache.learn(chunks)
-                    rows.append([i for c in chunks for i in cache[c]])
-            yield batch.drop(columns=[out], errors="ignore").assign(**{out: rows})[schema.names]
+    def make(ids: list[int], tool: RankEncoder) -> tuple[bytes, bytes]:
+        return np.array(ids, "<i4").tobytes(), tool.decode(ids)
 
-    return docs.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(path, pattern)
+        cache = _piece_cache(path, pattern, make)
+        for big in batches:
+            for at in range(0, big.num_rows, 1_000):  # ids take several times the room of the text
+                batch = big.slice(at, 1_000)
+                raw, lossless = [], []
+                for x in batch.column("text").to_pylist():
+                    chunks = pieces(x or "")
+                    if chunks is None:
+                        ids, text = make(tool.encode(x or ""), tool)
+                    else:
+                        cache.learn(chunks)
+                        parts = [cache[c] for c in chunks]
+                        ids, text = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+                    raw.append(ids)
+                    lossless.append(text == (x or "").encode("utf-8", "surrogatepass"))
+                sizes = np.fromiter(map(len, raw), "i8", len(raw)) >> 2
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype("i4")), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                new = {"ids": ids, "n_tokens": pa.array(sizes), "lossless": pa.array(lossless, pa.bool_())}
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in schema.names], schema.names)
+
+    return rest.mapInArrow(run, schema)
 
 
 def decode_ids(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

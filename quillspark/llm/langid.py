@@ -201,3 +201,13 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def fit_on_rest(docs: DataFrame) -> Model:
     """The model of all documents that aren't held out."""
     return fit(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
+
+
+def keep_known(docs: DataFrame, min_score: float = 0.3, min_letters: int = 20) -> DataFrame:
+    """docs whose language is known, with lang set to it.
+
+    Rejected are texts without a letter, and texts of ``min_letters`` and more whose n-grams fit no language clearly.
+    """
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    found = predict(docs, fit_on_rest(docs)).where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= min_score) | (letters < min_letters)))
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)

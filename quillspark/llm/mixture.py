@@ -114,3 +114,14 @@ def realise(docs: DataFrame, tokens: Column, budget_ratio: float = 1.0, target_e
     return placed.where((F.col("block") < F.col("_full")) | (F.col("_before") < F.col("_left"))).select(
         "doc_id", "source", "n_tokens", "weight", "block", F.col("_rank").alias("slot"), F.col("_before").alias("start")
     )
+
+
+def redraw(docs: DataFrame, tokens: Column, target_entropy: float, max_repetition: float, seed: int = 29) -> DataFrame:
+    """docs as often as the mixture draws them, every one at least once.
+
+    Rows with equal doc_id are drawn as one document.
+    """
+    drawn = realise(docs, tokens, 1.0, target_entropy, max_repetition, seed, keep_all=True)
+    copies = drawn.select("doc_id", "block").distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").cast("int").alias("_copies"))
+    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
