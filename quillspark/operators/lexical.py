@@ -67,6 +67,9 @@ def scores(queries: DataFrame, tokenized: DataFrame) -> DataFrame:
 
 
 def top(scored: DataFrame, k: int = 30) -> DataFrame:
-    """The k best per query, ranked from 1; zero scores don't count and ties go by id."""
+    """The k best per query, ranked from 1; zero scores don't count and ties go by id.
+
+    Sums come in any order, so scores tie that are equal to nine places.
+    """
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("score", F.round("score", 9)).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

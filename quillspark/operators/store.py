@@ -83,7 +83,7 @@ class Store:
         folder = self._manifest()["folder"]
         return self.spark.read.schema(OCCURRENCES).parquet(f"{self.path}/{folder}/occurrences") if folder else self.spark.createDataFrame([], OCCURRENCES)
 
-    def _commit(self, chunks: DataFrame, occurrences: DataFrame) -> int:
+    def commit(self, chunks: DataFrame, occurrences: DataFrame) -> int:
         """Write both tables of the next revision, then point the manifest at them."""
         now, folder = self._manifest(), f"rev-{uuid.uuid4().hex}"
         occurrences.select("id", "chunk_id", "source", "metadata").write.parquet(f"{self.path}/{folder}/occurrences")
@@ -102,7 +102,7 @@ class Store:
         return now["revision"] + 1
 
     @staticmethod
-    def _prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(chunks, occurrences) of rows (id, text, source, metadata, embedding); the last of equal ids counts."""
         one = rows.dropDuplicates(["id"]).withColumn("chunk_id", text_id(F.col("text")))
         chunks = one.groupBy("chunk_id").agg(F.first("text").alias("text"), F.max_by("embedding", F.col("id")).alias("embedding"))
@@ -110,23 +110,23 @@ class Store:
 
     def add(self, rows: DataFrame) -> int:
         """Insert or overwrite rows by id; returns the new revision."""
-        chunks, occurrences = self._prepared(rows)
-        return self._commit(merged(self.chunks(), chunks), merged(self.occurrences(), occurrences))
+        chunks, occurrences = self.prepared(rows)
+        return self.commit(merged(self.chunks(), chunks), merged(self.occurrences(), occurrences))
 
     def replace(self, source: str, rows: DataFrame) -> int:
         """Let a source hold exactly these rows, in one step."""
         if not rows.where(~F.col("source").eqNullSafe(F.lit(source))).isEmpty():
             raise StoreError(f"rows of another source than {source}")
-        chunks, occurrences = self._prepared(rows)
+        chunks, occurrences = self.prepared(rows)
         rest = self.occurrences().where(F.col("source") != source)
-        return self._commit(merged(self.chunks(), chunks), merged(rest, occurrences))
+        return self.commit(merged(self.chunks(), chunks), merged(rest, occurrences))
 
     def delete_sources(self, gone: DataFrame) -> int:
         """Drop the sources listed; without a match nothing changes, the revision included."""
         now = self.occurrences()
         if now.join(gone, "source", "left_semi").isEmpty():
             return self.revision
-        return self._commit(self.chunks(), now.join(gone, "source", "left_anti"))
+        return self.commit(self.chunks(), now.join(gone, "source", "left_anti"))
 
     def delete_orphans(self, known: DataFrame, protected: str = "uploads/") -> int:
         """Drop sources that are neither known nor under the protected prefix."""
@@ -136,4 +136,4 @@ class Store:
 
 def migrate(old: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One-table rows (id, text, source, metadata, embedding) as (chunks, occurrences); vectors must be usable."""
-    return Store._prepared(old)
+    return Store.prepared(old)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,30 +46,31 @@ def ingest_folder(spark: SparkSession, root: str, store: Store, only_suffix: str
     done = units.where(F.col("error").isNull()).select("source").distinct()
     report = done.select("source", F.lit("ingested").alias("status"), F.lit("").alias("message")).unionByName(failed)
     skipped = found.select("source").join(fresh.select("source"), "source", "left_anti").select("source", F.lit("skipped").alias("status"), F.lit("").alias("message"))
-    report = spark.createDataFrame(report.unionByName(skipped).collect(), "source string, status string, message string")  # one row per file of this run
+    kept_report = f"{store.path}/reports/{uuid.uuid4().hex}"  # written before the commit, which changes what counts as stored
+    report.unionByName(skipped).write.parquet(kept_report)
     if not done.isEmpty():
         keep = store.occurrences().join(done, "source", "left_anti")
-        chunks, occurrences = Store._prepared(rows)
-        store._commit(store.chunks().join(chunks, "id", "left_anti").unionByName(chunks), keep.unionByName(occurrences))
+        chunks, occurrences = Store.prepared(rows)
+        store.commit(store.chunks().join(chunks, "id", "left_anti").unionByName(chunks), keep.unionByName(occurrences))
     if only_suffix is None:
         store.delete_orphans(found.select("source"))
     units.unpersist()
-    return report
+    return spark.read.parquet(kept_report)
 
 
 def watch_folder(spark: SparkSession, root: str, store: Store, checkpoint: str) -> None:
     """Ingest files that arrived since the last call; each micro-batch replaces its sources in one commit."""
     arriving = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
 
-    def commit(batch: DataFrame, _: int) -> None:
+    def replace_sources(batch: DataFrame, _: int) -> None:
         name, suffix = F.element_at(F.split("path", "/"), -1), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
         found = batch.where(suffix.isin(sorted(files.PARSERS))).select(name.alias("source"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"), suffix.alias("suffix"), "content")
         units = files.parse(found)
-        chunks, occurrences = Store._prepared(chunk_rows(units))
+        chunks, occurrences = Store.prepared(chunk_rows(units))
         rest = store.occurrences().join(found.select("source"), "source", "left_anti")
-        store._commit(store.chunks().join(chunks, "id", "left_anti").unionByName(chunks), rest.unionByName(occurrences))
+        store.commit(store.chunks().join(chunks, "id", "left_anti").unionByName(chunks), rest.unionByName(occurrences))
 
-    arriving.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    arriving.writeStream.foreachBatch(replace_sources).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def verify(store: Store) -> DataFrame:
