@@ -72,7 +72,7 @@ def mermaid_definitions(text: Column) -> Column:
     """Bodies of mermaid fences; without any fence the whole text; blank ones are dropped."""
     fences = F.regexp_extract_all(text, F.lit(r"(?ims)^(`{3,})[ \t]*mermaid[ \t]*\n(.*?)^\1`*[ \t]*$"), F.lit(2))
     bodies = F.when(F.size(fences) > 0, fences).otherwise(F.array(text))
-    return F.filter(F.transform(bodies, F.trim), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    return F.filter(F.transform(bodies, lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")), lambda x: x != "")
 
 
 def strip_liquid(text: Column) -> Column:

@@ -44,15 +44,20 @@ PARSERS: dict[str, Parser] = {
 }
 
 
+def source_key(root: str) -> Column:
+    """A file's path below root."""
+    base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    escaped = "".join(c if c.isalnum() or c == "/" else f"\\{c}" for c in base)
+    return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(f"^{escaped}/"), F.lit(""))
+
+
 def scan(spark: SparkSession, root: str, only_suffix: str | None = None, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """(source, file_hash, suffix, content) of the supported files below root, office lock files left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     wanted = [only_suffix.lower() if only_suffix.startswith(".") else f".{only_suffix.lower()}"] if only_suffix else sorted(parsers or PARSERS)
-    source = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit("^" + "".join(f"\\{c}" if not c.isalnum() and c != "/" else c for c in base) + "/"), F.lit(""))
-    return files.where(suffix.isin(wanted) & ~name.startswith("~$")).select(source.alias("source"), file_digest(F.col("content")).alias("file_hash"), suffix.alias("suffix"), "content")
+    return files.where(suffix.isin(wanted) & ~name.startswith("~$")).select(source_key(root).alias("source"), file_digest(F.col("content")).alias("file_hash"), suffix.alias("suffix"), "content")
 
 
 def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:

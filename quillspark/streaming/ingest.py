@@ -63,8 +63,8 @@ def watch_folder(spark: SparkSession, root: str, store: Store, checkpoint: str)
     arriving = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
 
     def replace_sources(batch: DataFrame, _: int) -> None:
-        name, suffix = F.element_at(F.split("path", "/"), -1), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-        found = batch.where(suffix.isin(sorted(files.PARSERS))).select(name.alias("source"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"), suffix.alias("suffix"), "content")
+        suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+        found = batch.where(suffix.isin(sorted(files.PARSERS))).select(files.source_key(root).alias("source"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"), suffix.alias("suffix"), "content")
         units = files.parse(found)
         chunks, occurrences = Store.prepared(chunk_rows(units))
         rest = store.occurrences().join(found.select("source"), "source", "left_anti")
