@@ -47,7 +47,7 @@ PATTERNS = {
     "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}|(?:sk-|ghp_|xox[bp]-)(?=\S{0,60}\d)[A-Za-z0-9-]{20,200}|(?=[a-fA-F]*\d)[0-9a-fA-F]{32,128})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
-TITLED = re.compile(rf"(?:{_TITLES})\.? (?P<who>{_NAME}(?: {_NAME}){{0,2}})")
+TITLED = re.compile(rf"(?:{_TITLES})\.? (?P<who>{_NAME}(?: (?!(?:{_TITLES})\b){_NAME}){{0,2}})")
 #: All but names hold a digit or an at sign, so only what lies around these is searched.
 SIGN, REACH = re.compile(r"[\d@]+"), 140
 
@@ -196,11 +196,11 @@ def collisions(entity: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
         drawn = materialize(proposed(waiting, attempt), "surrogates")
         # The first by spelling may have a surrogate that several drew, unless it is taken.
         first = drawn.groupBy("kind", "surrogate").agg(F.min("spelling").alias("spelling")).join(taken, ["kind", "surrogate"], "left_anti")
-        settled = drawn.join(first, ["kind", "surrogate", "spelling"], "left_semi")
+        settled = materialize(drawn.join(first, ["kind", "surrogate", "spelling"], "left_semi"), "surrogates")
         if attempt:
             more = settled.select("kind", "spelling", F.lit(attempt).alias("attempt"))
             moved = more if moved is None else moved.unionByName(more)
-        waiting = materialize(drawn.join(first, ["kind", "surrogate", "spelling"], "left_anti").select("kind", "spelling", "gender"), "surrogates")
+        waiting = materialize(drawn.join(settled, ["kind", "spelling"], "left_anti").select("kind", "spelling", "gender"), "surrogates")
         if waiting.isEmpty():
             break
         taken = taken.unionByName(settled.select("kind", "surrogate"))
