@@ -33,7 +33,7 @@ GRAM, HASHES, SLOT_BITS = 4, 2, 20
 LEAST_DOCS, LEAST_SHARE = 3, 0.2
 UNKNOWN = "und"
 #: Characters that one pass over a batch covers, for bounded memory; a longer text is a pass of its own.
-PASS = 1_000_000
+PASS = 400_000
 
 
 class Model(NamedTuple):
@@ -182,7 +182,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sure = [], []
+            found: list[str] = []
+            sure: list[np.ndarray] = []
             for texts in _passes([x or "" for x in batch.column("text").to_pylist()]):
                 names, values = score(shared.value, texts)
                 found += names

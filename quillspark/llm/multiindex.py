@@ -93,8 +93,8 @@ def stop_bound(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], thresho
     rng = np.random.default_rng(7)
     step = rng.normal(size=sample.shape)
     step -= np.einsum("ij,ij->i", step, sample)[:, None] * sample
-    angle = math.acos(threshold)
-    other = math.cos(angle) * sample + math.sin(angle) * step / np.linalg.norm(step, axis=1)[:, None]
+    angle, size = math.acos(threshold), np.linalg.norm(step, axis=1)[:, None]
+    other = math.cos(angle) * sample + math.sin(angle) * step / np.where(size > 0, size, 1)
     need = np.zeros(len(sample))
     for mine, theirs, book in zip(_halves(sample), _halves(other), books, strict=True):
         need += border_bounds(mine, book)[1][np.arange(len(sample)), _squared(theirs, book).argmin(axis=1)]
