@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_digest
-from . import drawio, html, markdown
+from . import drawio, html, markdown, office
 
 #: Source-code and configuration suffixes that are read as plain text (fixed values).
 TEXT_SUFFIXES = (".txt", ".py", ".js", ".ts", ".java", ".cs", ".go", ".rs", ".c", ".cpp", ".h", ".sh", ".ps1", ".json", ".yaml", ".yml", ".toml")
@@ -41,6 +41,10 @@ PARSERS: dict[str, Parser] = {
     ".html": lambda b: _whole(html.extract(decoded(b))),
     ".htm": lambda b: _whole(html.extract(decoded(b))),
     ".drawio": lambda b: drawio.units(decoded(b)),
+    ".docx": office.docx_units,
+    ".pptx": office.pptx_units,
+    ".xlsx": office.xlsx_units,
+    ".xlsm": office.xlsx_units,
 }
 
 
