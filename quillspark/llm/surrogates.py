@@ -40,15 +40,18 @@ _NAME = "[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zß-öø-ÿά-ώа-яё]+(?:[-'][A-ZÀ-ÖØ
 PATTERNS = {
     "mail": r"[\w.%+-]{0,63}\w@[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.\w{2,24}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "card": r"(?<!\w)(?<!\d\.)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
+    "ip": r"(?<!\w)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)",
     "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}|(?:sk-|ghp_|xox[bp]-)(?=\S{0,60}\d)[A-Za-z0-9-]{20,200}|(?=[a-fA-F]*\d)[0-9a-fA-F]{32,128})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 TITLED = re.compile(rf"(?:{_TITLES})\.? (?P<who>{_NAME}(?: (?!(?:{_TITLES})\b){_NAME}){{0,2}})")
-#: All but names hold a digit or an at sign, so only what lies around these is searched.
+#: What is assigned to a name that stands for a secret.
+SECRET_NAME = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?\s{0,3}$")
+ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;]{5,199}[^\W_])")
+#: All but names and assigned secrets hold a digit or an at sign, so only what lies around these is searched.
 SIGN, REACH = re.compile(r"[\d@]+"), 140
 
 
@@ -84,10 +87,13 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
         if not (m.start() and text[m.start() - 1].isalnum()):
             title = m.group().split(" ")[0].rstrip(".")
             named.append((*m.span("who"), "name", m["who"].casefold(), "m" if title in MALE else "f" if title in FEMALE else ""))
+    for m in ASSIGNED.finditer(text):
+        if SECRET_NAME.search(text, max(0, m.start() - 24), m.start()):
+            named.append((*m.span("value"), "secret", m["value"].casefold(), ""))
     if not named:
         return found
     out, end = [], 0
-    for e in sorted(found + named):
+    for e in sorted(named + found, key=lambda e: (e[0], -e[1])):
         if e[0] >= end:
             out.append(e)
             end = e[1]
@@ -146,7 +152,9 @@ def draw(key: bytes, kind: str, spelling: str, gender: str, attempt: int) -> str
         prefix = next((p for p in ("akia", "sk-", "ghp_", "xoxb-", "xoxp-") if spelling.startswith(p)), "")
         if prefix:
             return prefix + _shaped(bits, spelling[len(prefix) :])
-        return _letters(bits, "0123456789", 1) + _letters(bits, "0123456789abcdef", len(spelling) - 1)
+        if re.fullmatch("[0-9a-f]+", spelling):
+            return _letters(bits, "0123456789", 1) + _letters(bits, "0123456789abcdef", len(spelling) - 1)
+        return _shaped(bits, spelling)
     if kind == "iban":
         return spelling[:2] + _shaped(bits, spelling[2:])
     digits = _letters(bits, "0123456789", len(spelling))

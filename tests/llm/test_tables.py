@@ -243,6 +243,7 @@ def test_detection():
     text = "A.b@Mail.example.com, +1 (017) 555-7713; 97.51.17.173. 7536784127813050 4845168114407329 token=\"2abc3ff2ca8fb1e4c565a0eb63815530a948bdde\" Mrs. Anna Smith Госпожа Анна Иванова 123-45-6789 DE89 3704 0044 0532 0130 00 v3.10.2 2024-01-02 12345"
     assert [e[2] for e in surrogates.entities(text)] == ["mail", "phone", "ip", "card", "card", "secret", "name", "name", "ssn", "iban"]
     assert surrogates.entities("x" * 200_000) == [] and surrogates.entities("a" * 100_000 + "@") == []
+    assert [e[2:4] for e in surrogates.entities('password=da3cb475b43344af88 PWD: "hunterkey", token = "x"')] == [("secret", "da3cb475b43344af88"), ("secret", "hunterkey")]
     assert [e[3] for e in surrogates.entities("a b@c.de " * 2)] == ["b@c.de"] * 2
 
 
