@@ -193,8 +193,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     if chunks is None:
                         ids, text = make(tool.encode(x or ""), tool)
                     else:
-                        cache.learn(chunks)
-                        parts = [cache[c] for c in chunks]
+                        parts = cache.parts(chunks)
                         ids, text = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
                     raw.append(ids)
                     lossless.append(text == (x or "").encode("utf-8", "surrogatepass"))
@@ -234,8 +233,7 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 if chunks is None:
                     ids, n, raw = make(tool.encode(x or ""), tool)
                 else:
-                    cache.learn(chunks)
-                    parts = [cache[c] for c in chunks]
+                    parts = cache.parts(chunks)
                     ids, n, raw = ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch["doc_id"].array)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]

@@ -37,10 +37,15 @@ class PieceCache(dict):
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def learn(self, chunks: list[str]) -> None:
-        new = [x for x in set(chunks) if x not in self]
-        if len(self) + len(new) > self.limit:
+    def parts(self, chunks: list[str]) -> list:
+        """The encodings of chunks in order."""
+        out = list(map(self.get, chunks))
+        missing = {c for c, x in zip(chunks, out, strict=True) if x is None}
+        if not missing:
+            return out
+        if len(self) + len(missing) > self.limit:
             self.clear()
-            new = list(set(chunks))
-        if new:
-            self.update(zip(new, self.encode([source_text(x) for x in new]), strict=True))
+            missing = set(chunks)
+        new = list(missing)
+        self.update(zip(new, self.encode([source_text(x) for x in new]), strict=True))
+        return list(map(self.__getitem__, chunks))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ from .chunks import PieceCache, pieces
 #: ORC writer settings: stripes that a task can hold, an index entry every 1,000 rows, Bloom filters on the ids.
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20), "compression": "snappy"}
 
+#: Distinct chunks that a worker remembers, at some 200 bytes each.
+MOST_CHUNKS = 1_600_000
+
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
@@ -36,9 +40,9 @@ def _tokenizer(path: str):
     tool = Tokenizer.from_file(path)
 
     def encode(texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<i4").tobytes() for x in tool.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("i", x.ids).tobytes() for x in tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return encode, PieceCache(encode)
+    return encode, PieceCache(encode, MOST_CHUNKS)
 
 
 def encode(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
@@ -57,8 +61,7 @@ def encode(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
                     if chunks is None:
                         raw.append(whole([x or ""])[0])
                     else:
-                        cache.learn(chunks)
-                        raw += [cache[c] for c in chunks]
+                        raw += cache.parts(chunks)
                     raw.append(end)
                     raw.append(None)
                 sizes, size, joined = [], 0, []
