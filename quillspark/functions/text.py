@@ -164,6 +164,14 @@ def sheet_name(title: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(title, r"[\[\]:*?/\\]", " ")), 1, 31)
 
 
+def common_folder(low: Column, high: Column) -> Column:
+    """The folders that two paths share, with a slash at the end; of the least and greatest path, those of all paths."""
+    a, b = F.split(low, "/"), F.split(high, "/")
+    depth = F.least(F.size(a), F.size(b)) - 1
+    shared = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (i <= depth) & (F.get(a, i - 1) == F.get(b, i - 1)), i).otherwise(n))
+    return F.when(shared > 0, F.concat(F.array_join(F.slice(a, F.lit(1), shared), "/"), F.lit("/"))).otherwise(F.lit(""))
+
+
 def local_path(path: Column, prefix: Column) -> Column:
     """A page's path below the common prefix, folders joined by hyphens."""
     below = F.when(path.startswith(prefix), F.substring(path, F.length(prefix) + 1, F.length(path))).otherwise(path)

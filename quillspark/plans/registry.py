@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import catalog_queries, search_queries, store_queries, text_queries
-
-    del catalog_queries, search_queries, store_queries, text_queries
+    """Import the modules whose functions register themselves."""
+    for name in ("search_queries", "catalog_queries", "store_queries", "text_queries"):
+        importlib.import_module(f"{__package__}.{name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,25 @@ def test_reply_query(spark):
     assert ask("{broken") == "q"
     assert ask('{"query": ""}') == "q"
     assert ask('{"query": "' + "x" * 201 + '"}') == "q"
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([("docs/a/x.md",), ("docs/a/b/y.md",), ("docs/c.md",)], "path string")
+    folder = df.agg(text.common_folder(F.min("path"), F.max("path"))).first()[0]
+    assert folder == "docs/"
+    assert one(spark, text.common_folder(F.lit("a/b/x"), F.lit("a/b/y"))) == "a/b/" and one(spark, text.common_folder(F.lit("x"), F.lit("y/z"))) == ""
+    assert sorted(r[0] for r in df.select(text.local_path(F.col("path"), F.lit(folder))).collect()) == ["a-b-y.md", "a-x.md", "c.md"]
+
+
+def test_documents(spark):
+    from quillspark.sources.files import image_block
+
+    assert one(spark, text.code_body(F.lit("here:\n```py\nx = 1\n```\nend"))) == "x = 1" and one(spark, text.code_body(F.lit(" x "))) == "x"
+    assert one(spark, text.sheet_name(F.lit("a/b:" + "c" * 40))) == "a b " + "c" * 27
+    assert one(spark, image_block(F.lit("装飾画像。"), F.lit("short"))) is None
+    assert one(spark, image_block(F.lit("棒グラフ"), F.lit("1234567890"))) == "［画像の説明］棒グラフ\n［画像の文字］1234567890"
+    hits = F.array(F.struct(F.lit("a.md").alias("citation"), F.lit("t").alias("text")))
+    assert one(spark, render.evidence_prompt(F.lit("q"), hits, "intro", "none")) == "intro\n\n[1] a.md\nt\n\n質問: q"
+    assert one(spark, render.evidence_prompt(F.lit("q"), F.filter(hits, lambda h: F.lit(False)), "intro", "none")) == "intro\n\nnone\n\n質問: q"
+    assert one(spark, render.results_markdown(hits)) == "### a.md\n\nt"
+    assert one(spark, render.too_long(F.lit("x" * 28_001)))
