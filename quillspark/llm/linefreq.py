@@ -5,8 +5,8 @@ Lines are normalised (ASCII letters lower-cased, digits made 0, white space coll
 the host's documents is removed; a document left with too few words, or too small a part of them, is rejected. Some rules on
 the document alone come first (``base_failed``).
 
-Counting combines on the map side, so a line in every document of a large host costs a row per task. Texts aren't
-shuffled: measures, line hashes and word counts are. Null texts have no words and fail; a null source is a host of its
+Counting combines on the map side, so a line in every document of a large host costs a row per task. Texts are read once
+and not shuffled: measures, line hashes and word counts are written and used from there. Null texts have no words and fail; a null source is a host of its
 own; repeated rows count as documents of their own; an empty table gives no rows. Only doc_id, source and text are read, so
 extra columns can't clash.
 """
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
@@ -64,30 +66,30 @@ def measures(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "_lines")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+def _document_lines(measured: DataFrame) -> DataFrame:
+    """(doc_id, _host, _h): each document's lines once."""
+    return measured.select("doc_id", "_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_h"))
+
+
+def frequent_lines(measured: DataFrame, min_docs: int, min_share: float) -> DataFrame:
     """(_host, _h, _docs): lines in more documents of their host than either limit."""
-    lines = _document_lines(docs)
-    hosts = docs.groupBy(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_host")).agg(F.count("*").alias("_host_docs"))
-    counted = lines.groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > min_docs)
+    hosts = measured.groupBy("_host").agg(F.count("*").alias("_host_docs"))
+    counted = _document_lines(measured).groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > min_docs)
     return counted.join(hosts, "_host").where(F.col("_docs") > F.col("_host_docs") * min_share).select("_host", "_h", "_docs")
 
 
-def _document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, _host, _h): each document's lines once."""
-    raw = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
-    hashes = F.array_distinct(F.transform(raw, lambda x: F.xxhash64(normalised(x))))
-    return docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_host"), F.explode(hashes).alias("_h"))
+def _marked(measured: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """(_id, _where, _frequent): the frequent lines of each document that has any; a null doc_id is a fixed number."""
+    found = _document_lines(measured).join(frequent_lines(measured, min_docs, min_share), ["_host", "_h"], "left_semi")
+    return found.groupBy(_key().alias("_id"), F.col("_host").alias("_where")).agg(F.collect_set("_h").alias("_frequent"))
 
 
-def judge(docs: DataFrame, min_docs: int = 10, min_share: float = 0.002, min_words: int = 20, min_left: float = 0.5, max_repeat: float = 0.3) -> DataFrame:
-    """One row per row of docs: doc_id, base measures, base_failed, n_removed_words, n_removed_lines, kept."""
-    frequent = frequent_lines(docs, min_docs, min_share)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    marked = (
-        _document_lines(docs).join(frequent, ["_host", "_h"], "left_semi").groupBy(key.alias("_id"), F.col("_host").alias("_where")).agg(F.collect_set("_h").alias("_frequent"))
-    )
-    d = measures(docs)
-    d = d.join(marked, (F.coalesce(d.doc_id, F.lit(-(1 << 63))) == F.col("_id")) & (d["_host"] == F.col("_where")), "left")
+def _key() -> Column:
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
+
+
+def _judged(measured: DataFrame, marked: DataFrame, min_words: int, min_left: float, max_repeat: float) -> DataFrame:
+    d = measured.join(marked, (_key() == F.col("_id")) & (F.col("_host") == F.col("_where")), "left")
     gone = F.filter("_lines", lambda x: F.array_contains(F.coalesce("_frequent", F.array().cast("array<bigint>")), x["h"]))
     d = d.withColumn("_gone", F.when(F.col("_frequent").isNotNull(), gone))
     d = d.withColumn("n_removed_words", F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, x: a + x["w"]), F.lit(0)).cast("long"))
@@ -102,14 +104,23 @@ def judge(docs: DataFrame, min_docs: int = 10, min_share: float = 0.002, min_wor
     )
 
 
-def clean(docs: DataFrame, min_docs: int = 10, min_share: float = 0.002) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = 10, min_share: float = 0.002, min_words: int = 20, min_left: float = 0.5, max_repeat: float = 0.3) -> DataFrame:
+    """One row per row of docs: doc_id, base measures, base_failed, n_removed_words, n_removed_lines, kept.
+
+    Texts are read once: counting, marking and judging all work on the written measures.
+    """
+    measured = materialize(measures(docs), "line-measures")
+    return _judged(measured, _marked(measured, min_docs, min_share), min_words, min_left, max_repeat)
+
+
+def clean(docs: DataFrame, min_docs: int = 10, min_share: float = 0.002, min_words: int = 20, min_left: float = 0.5, max_repeat: float = 0.3) -> DataFrame:
     """docs that are kept, their text without the frequent lines. Needs doc_id to be unique and not null."""
-    frequent = frequent_lines(docs, min_docs, min_share)
-    marked = _document_lines(docs).join(frequent, ["_host", "_h"], "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("_h").alias("_frequent"))
-    kept = judge(docs, min_docs, min_share).where("kept").select(F.col("doc_id").alias("_kept"))
+    measured = materialize(measures(docs), "line-measures")
+    marked = _marked(measured, min_docs, min_share)
+    kept = _judged(measured, marked, min_words, min_left, max_repeat).where("kept").select(F.col("doc_id").alias("_kept"))
     rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").join(marked, F.col("doc_id") == F.col("_id"), "left")
     lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_frequent", F.xxhash64(normalised(x))))
-    return rows.withColumn("text", F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).drop("_id", "_frequent")
+    return rows.withColumn("text", F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).drop("_id", "_where", "_frequent")
 
 
 #: The same rows in DuckDB SQL, with the lines themselves in place of their hashes.
