@@ -42,7 +42,33 @@ def _tokenizer(path: str):
     def encode(texts: list[str]) -> list[bytes]:
         return [array("i", x.ids).tobytes() for x in tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return encode, PieceCache(encode, MOST_CHUNKS)
+    return encode, PieceCache(_words_first(tool, encode), MOST_CHUNKS)
+
+
+def _words_first(tool, encode):
+    """encode, but a lone word, which is one piece for the pre-tokenizer, goes straight to the library's BPE model.
+
+    The model takes bytes as the letters that byte-level BPE writes them with.
+    """
+    from tokenizers import pre_tokenizers
+
+    model, split = tool.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(32, 0x250) if chr(c).isalpha() or c == 32}
+
+    def run(texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        rest = []
+        for x in texts:
+            word = x[1:] if x[:1] == " " else x
+            if word.isalpha() and max(word) < "\u0250":
+                out.append(array("i", [t.id for t in model.tokenize(x.translate(letters))]).tobytes())
+            else:
+                out.append(None)
+                rest.append(x)
+        found = iter(encode(rest) if rest else ())
+        return [next(found) if x is None else x for x in out]
+
+    return run
 
 
 def encode(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
@@ -58,23 +84,10 @@ def encode(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
                 raw = []
                 for x in batch.column("text").to_pylist():
                     chunks = pieces(x or "")
-                    if chunks is None:
-                        raw.append(whole([x or ""])[0])
-                    else:
-                        raw += cache.parts(chunks)
-                    raw.append(end)
-                    raw.append(None)
-                sizes, size, joined = [], 0, []
-                for x in raw:
-                    if x is None:
-                        sizes.append(size >> 2)
-                        size = 0
-                    else:
-                        size += len(x)
-                        joined.append(x)
-                counts = np.array(sizes, "i8")
+                    raw.append((whole([x or ""])[0] if chunks is None else b"".join(cache.parts(chunks))) + end)
+                counts = np.fromiter(map(len, raw), "i8", len(raw)) >> 2
                 ends = np.cumsum(counts)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype("i4")), pa.array(np.frombuffer(b"".join(joined), "<i4")))
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype("i4")), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(before + ends - counts), pa.array(counts), tokens], ["doc_id", "place", "before", "n_tokens", "tokens"])
                 before += int(ends[-1]) if len(ends) else 0
 
