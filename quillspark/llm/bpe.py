@@ -15,7 +15,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .chunks import PieceCache, pieces
 
+#: Distinct chunks that a worker remembers, at some 200 bytes each.
+MOST_CHUNKS = 900_000
+
 
 class RankEncoder:
     """The merges of one rank file (tiktoken's format)."""
@@ -38,7 +42,7 @@ class RankEncoder:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.length = {v: len(k) for k, v in self.ranks.items()}
-        self.known: dict[str, list[int]] = {}
+        self.decimal = [str(i) for i in range(max(self.bytes_of, default=-1) + 1)]
         self.halves: dict[int, tuple[int, int]] = {}
         self.shorter: dict[int, int | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -145,18 +149,8 @@ class RankEncoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """Each match of the pattern separately, as its library does; short matches are remembered, up to a bound."""
-        known, out = self.known, []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) < 40:
-                    if len(known) >= 300_000:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        """Each match of the pattern separately, as its library does."""
+        return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode("utf-8", "surrogatepass"))]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -168,9 +162,17 @@ def encoder(path: str, pattern: str) -> RankEncoder:
     return RankEncoder(path, pattern)
 
 
-def _piece_cache(path: str, pattern: str, make) -> PieceCache:
+def _encoder_of_texts(path: str, pattern: str) -> tuple[RankEncoder, Callable[[str | None], bytes]]:
+    """The encoder and a function from a text to its ids as little-endian 32-bit integers, with a cache of chunks."""
     tool = encoder(path, pattern)
-    return PieceCache(lambda texts: [make(tool.encode(x), tool) for x in texts])
+    packed = lambda text: array("i", tool.encode(text)).tobytes()
+    cache = PieceCache(lambda texts: list(map(packed, texts)), MOST_CHUNKS)
+
+    def run(text: str | None) -> bytes:
+        chunks = pieces(text or "")
+        return packed(text or "") if chunks is None else b"".join(cache.parts(chunks))
+
+    return tool, run
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -178,25 +180,15 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     rest = docs.drop("ids", "n_tokens", "lossless")
     schema = rest.drop("text").withColumns({"ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "lossless": F.lit(True)}).schema
 
-    def make(ids: list[int], tool: RankEncoder) -> tuple[bytes, bytes]:
-        return np.array(ids, "<i4").tobytes(), tool.decode(ids)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path, pattern)
-        cache = _piece_cache(path, pattern, make)
+        tool, encoded = _encoder_of_texts(path, pattern)
         for big in batches:
             for at in range(0, big.num_rows, 1_000):  # ids take several times the room of the text
                 batch = big.slice(at, 1_000)
                 raw, lossless = [], []
                 for x in batch.column("text").to_pylist():
-                    chunks = pieces(x or "")
-                    if chunks is None:
-                        ids, text = make(tool.encode(x or ""), tool)
-                    else:
-                        parts = cache.parts(chunks)
-                        ids, text = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-                    raw.append(ids)
-                    lossless.append(text == (x or "").encode("utf-8", "surrogatepass"))
+                    raw.append(ids := encoded(x))
+                    lossless.append(tool.decode(np.frombuffer(ids, "<i4").tolist()) == (x or "").encode("utf-8", "surrogatepass"))
                 sizes = np.fromiter(map(len, raw), "i8", len(raw)) >> 2
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype("i4")), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 new = {"ids": ids, "n_tokens": pa.array(sizes), "lossless": pa.array(lossless, pa.bool_())}
@@ -220,22 +212,14 @@ def decode_ids(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out:
 def round_trip_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode each text, decode its ids, and digest both."""
 
-    def make(ids: list[int], tool: RankEncoder) -> tuple[str, int, bytes]:
-        return ",".join(map(str, ids)), len(ids), tool.decode(ids)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(path, pattern)
-        cache = _piece_cache(path, pattern, make)
+        tool, encoded = _encoder_of_texts(path, pattern)
         for batch in batches:
             rows = []
             for x in batch["text"]:
-                chunks = pieces(x or "")
-                if chunks is None:
-                    ids, n, raw = make(tool.encode(x or ""), tool)
-                else:
-                    parts = cache.parts(chunks)
-                    ids, n, raw = ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                ids = np.frombuffer(encoded(x), "<i4").tolist()
+                decimals = ",".join(map(tool.decimal.__getitem__, ids))
+                rows.append((len(ids), hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(tool.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch["doc_id"].array)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()

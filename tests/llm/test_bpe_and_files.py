@@ -15,7 +15,7 @@ from .conftest import ROWS
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
-ALPHABET = ["a", "e", "th", " ", "\n", "é", "日", "本", "1", "'", "s", "ß", "́", " ", "🙂", "?", "!!", "ing", " the", "\t", "я", ".", "<|endoftext|>"]
+ALPHABET = ["a", "e", "a, ", "es. ", "é,", "th", " ", "\n", "é", "日", "本", "1", "'", "s", "ß", "́", " ", "🙂", "?", "!!", "ing", " the", "\t", "я", ".", "<|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
