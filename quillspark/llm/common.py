@@ -71,9 +71,9 @@ def hash_buckets(column: str, bits: int) -> Column:
     return F.shiftright(F.col(column), 64 - bits)
 
 
-def bucket_bits(rows: int, per_bucket: int = 50_000) -> int:
-    """Bits for about ``per_bucket`` rows in each bucket."""
-    return max(4, min(40, (max(rows, 1) // per_bucket).bit_length() + 1))
+def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
+    """Bits for at most about ``per_bucket`` rows in each bucket, and enough buckets for many tasks."""
+    return max(8, min(40, (max(rows, 1) // per_bucket).bit_length() + 1))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
