@@ -214,17 +214,34 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
     return keyed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
-def components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp long, component_id) for every row of docs."""
-    prints = materialize(fingerprints(docs, words), "fingerprints")
+def _named(prints: DataFrame, distance: int) -> DataFrame:
+    """(_fp, component_id) of each fingerprint of prints (doc_id, fp)."""
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), "classes")
     edges = links(classes.where("id is not null"), distance)
     linked = connected_components(edges)
-    named = classes.join(linked.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, prints.fp == named._fp, "left").select("doc_id", "fp", "component_id")
+    return classes.join(linked.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+
+
+def components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, fp long, component_id) for every row of docs."""
+    prints = materialize(fingerprints(docs, words), "fingerprints")
+    return prints.join(_named(prints, distance), F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """docs without those that another document of their component stands for: the smallest doc_id stays."""
-    gone = components(docs, words, distance).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without those that another document of their component stands for: the rows with its smallest doc_id stay.
+
+    Rows are judged by their own fingerprint, so a repeated doc_id with different texts loses only those that have a copy.
+    Rows without an id stay, and so do all rows of the smallest doc_id; ``nearcopies.keep_one`` keeps a single row.
+    """
+    schema = docs.withColumn("_row_fp", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(x.as_py(), words) for x in batch.column("text")], "u8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view("i8"))], schema.names)
+
+    rows = docs.mapInArrow(run, schema)
+    prints = materialize(rows.select("doc_id", F.col("_row_fp").alias("fp")), "fingerprints")
+    gone = prints.join(_named(prints, distance), F.col("fp") == F.col("_fp"), "left").where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("fp").alias("_gone_fp")).distinct()
+    return rows.join(gone, (rows["doc_id"] == gone["_gone"]) & (rows["_row_fp"] == gone["_gone_fp"]), "left_anti").select(docs.columns)

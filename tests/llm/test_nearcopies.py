@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillspark.llm import nearcopies
+from quillspark.llm import nearcopies, simhash
 
 from .conftest import ROWS
 
@@ -53,3 +53,9 @@ def test_one_row_of_each_component(spark, docs, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and sorted(i or 0 for i in ids) == [0, 1, 3, 6, 7, 8, 9, 10, 11]
     assert len(ids) == len({" ".join((r[1] or "").lower().split()) for r in ROWS}) and nearcopies.keep_one(empty).count() == 0
+
+
+def test_keep_first_judges_rows(spark):
+    rows = [(3, "b one two"), (5, "a text of its own"), (5, "B  one two")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == rows[:2]
