@@ -31,6 +31,8 @@ DOCS_PER_LANGUAGE = 3_000
 MOST_LANGUAGES = 64
 GRAM, HASHES, SLOT_BITS = 4, 2, 20
 LEAST_DOCS, LEAST_SHARE = 3, 0.2
+#: Documents that a language has to be learned from before texts are rejected for what it doesn't hold of them.
+LEAST_LEARNED = 20
 UNKNOWN = "und"
 #: Characters that one pass over a batch covers, for bounded memory; a longer text is a pass of its own.
 PASS = 400_000
@@ -40,6 +42,7 @@ class Model(NamedTuple):
     languages: list[str]
     slots: np.ndarray  # a bitmask per slot
     false_rate: np.ndarray  # per language
+    learned: np.ndarray  # documents that each language was learned from, about
 
 
 @functools.lru_cache(maxsize=1)
@@ -110,7 +113,7 @@ def fit(docs: DataFrame, lang: Column | str = "lang") -> Model:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = [r[0] for r in counts]
     if not languages:
-        return Model([], np.zeros(1 << SLOT_BITS, "u1"), np.zeros(0))
+        return Model([], np.zeros(1 << SLOT_BITS, "u1"), np.zeros(0), np.zeros(0))
     index, share = F.lit(None).cast("int"), F.lit(1.0)
     for i, (name, n) in enumerate(counts):
         index = F.when(F.col("l") == name, F.lit(i)).otherwise(index)
@@ -144,7 +147,7 @@ def fit(docs: DataFrame, lang: Column | str = "lang") -> Model:
     slots = np.zeros(1 << SLOT_BITS, kind)
     slots[filled["slot"].to_numpy("i8")] = filled["mask"].to_numpy("i8").view("u8").astype(kind)
     fill = np.array([np.count_nonzero(slots >> kind_of(slots, i) & kind_of(slots, 1)) / len(slots) for i in range(len(languages))])
-    return Model(languages, slots, fill**HASHES)
+    return Model(languages, slots, fill**HASHES, np.array(docs_of))
 
 
 def kind_of(slots: np.ndarray, value: int):
@@ -153,8 +156,13 @@ def kind_of(slots: np.ndarray, value: int):
 
 def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
+    return scores(model, texts)[:2]
+
+
+def scores(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score (the language's share of all languages' corrected counts) and coverage (its corrected count's share of all n-grams) of each text."""
     if not model.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     grams, sizes, has = _grams(texts)
     masks = np.full(len(grams), np.iinfo(model.slots.dtype).max, model.slots.dtype)
     for at in _positions(grams):
@@ -170,26 +178,29 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     best = real.argmax(axis=1)
     total = real.sum(axis=1)
     sure = np.where(total > 0, real[np.arange(len(texts)), best] / np.where(total > 0, total, 1), 0.0)
-    return [model.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, np.clip(sure, 0, 1), 0.0)
+    covered = real[np.arange(len(texts)), best] / np.maximum(sizes, 1)
+    return [model.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, np.clip(sure, 0, 1), 0.0), np.where(has, np.clip(covered, 0, 1), 0.0)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score. The model has a fixed size: a mask per slot."""
+def predict(docs: DataFrame, model: Model, coverage: str | None = None) -> DataFrame:
+    """docs with lang_pred and score, and coverage under a name if one is given. The model has a fixed size: a mask per slot."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = docs.drop("lang_pred", "score")
-    schema = rest.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    added = ["lang_pred", "score", *([coverage] if coverage else [])]
+    rest = docs.drop(*added)
+    schema = rest.withColumns({"lang_pred": F.lit(""), **{c: F.lit(0.0) for c in added[1:]}}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[str] = []
-            sure: list[np.ndarray] = []
+            numbers: list[tuple[np.ndarray, np.ndarray]] = []
             for texts in _passes([x or "" for x in batch.column("text").to_pylist()]):
-                names, values = score(shared.value, texts)
+                names, *values = scores(shared.value, texts)
                 found += names
-                sure.append(values)
-            extra = [pa.array(found, pa.string()), pa.array(np.concatenate(sure) if sure else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "lang_pred", "score"])
+                numbers.append(tuple(values))
+            columns = [np.concatenate(x) for x in zip(*numbers, strict=True)] or [np.zeros(0)] * 2
+            extra = [pa.array(found, pa.string()), *map(pa.array, columns[: len(added) - 1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *added])
 
     return rest.mapInArrow(run, schema)
 
@@ -204,11 +215,16 @@ def fit_on_rest(docs: DataFrame) -> Model:
     return fit(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.3, min_letters: int = 20) -> DataFrame:
+def keep_known(docs: DataFrame, min_coverage: float = 0.3, min_letters: int = 20) -> DataFrame:
     """docs whose language is known, with lang set to it.
 
-    Rejected are texts without a letter, and texts of ``min_letters`` and more whose n-grams fit no language clearly.
+    Rejected are texts without a letter, and texts of ``min_letters`` and more of whose n-grams the best language holds too
+    small a part, however many languages there are. A language learned from fewer than ``LEAST_LEARNED`` documents holds
+    too little even of its own texts, so none of its texts is rejected.
     """
+    model = fit_on_rest(docs)
+    weak = [x for x, n in zip(model.languages, model.learned, strict=True) if n < LEAST_LEARNED]
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
-    found = predict(docs, fit_on_rest(docs)).where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= min_score) | (letters < min_letters)))
+    fits = (F.col("_coverage") >= min_coverage) | (letters < min_letters) | F.col("lang_pred").isin(weak)
+    found = predict(docs, model, "_coverage").where((F.col("lang_pred") != UNKNOWN) & fits)
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
