@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, consistent with type, gender, script and format, and distinct.
 
-Detected entities (mail addresses, phone numbers, IP addresses, card and account numbers, secrets, names after a title) are
-brought to one spelling; a keyed hash of type and spelling gives the surrogate, written in the format of each place where the
+Detected entities (mail addresses, phone numbers with a country code or in usual national layouts, IP addresses of both kinds,
+card and account numbers, secrets, names after a title in any script with capitals) are brought to one spelling (secrets keep
+theirs, as their letter case counts); a keyed hash of type and spelling gives the surrogate, written in the format of each place where the
 entity stands: separators, letter case, number of digits, script. The same entity gets the same surrogate in every
 document (coreference); two entities never share one, and none is an entity of the corpus itself (distinctness): all
 entities are gathered once each, surrogates that collide are found by grouping and joining them, and those entities move
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,18 +39,32 @@ NEUTRAL = ["Dr", "Prof", "Professor"]
 SCRIPTS = {"latin": ("bdfglmnprstv", "aeiou"), "cyrillic": ("бвгдлмнпрст", "аеиоу"), "greek": ("βγδλμνπρστ", "αεηιου")}
 
 _TITLES = "|".join(sorted(map(re.escape, MALE + FEMALE + NEUTRAL), key=len, reverse=True))
-_NAME = "[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zß-öø-ÿά-ώа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zß-öø-ÿά-ώа-яё]+)?"
+
+
+def _characters(*categories: str) -> str:
+    """The characters of these Unicode categories, as ranges for a regular expression's class."""
+    points = [c for c in range(0x20000) if unicodedata.category(chr(c)) in categories]
+    starts = [c for i, c in enumerate(points) if not i or points[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+_UPPER, _INSIDE = _characters("Lu", "Lt"), _characters("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc")
+_NAME = f"[{_UPPER}](?:[{_INSIDE}]+|(?=['’][{_UPPER}][{_INSIDE}]))(?:[-'’][{_UPPER}][{_INSIDE}]+)?(?![{_INSIDE}])"
 PATTERNS = {
     "mail": r"[\w.%+-]{0,63}\w@[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.\w{2,24}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<!\w)(?<!\d\.)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
     "ip": r"(?<!\w)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)",
+    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
+    r"|(?<![\w+])(?<!\d[.,-])(?:0\d{2,4}[ ./-]\d{3,4}[ -]?\d{3,4}|\(0\d{1,4}\)[ -]?\d{3,4}[ -]?\d{3,4}|0\d[ -]\d{4}[ -]\d{4}|0\d(?P<gap>[ .-])\d\d(?:(?P=gap)\d\d){3}|0\d{9,10}|[2-9]\d\d[2-9]\d{6})(?![\w]|[.,]\d)",
     "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}|(?:sk-|ghp_|xox[bp]-)(?=\S{0,60}\d)[A-Za-z0-9-]{20,200}|(?=[a-fA-F]*\d)[0-9a-fA-F]{32,128})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 TITLED = re.compile(rf"(?:{_TITLES})\.? (?P<who>{_NAME}(?: (?!(?:{_TITLES})\b){_NAME}){{0,2}})")
+#: Whatever may be an IPv6 address; ``ipaddress`` decides.
+IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*(?:(?:\.\d{1,3}){3})?(?<!(?<!:):)(?!\w)")
 #: What is assigned to a name that stands for a secret.
 SECRET_NAME = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?\s{0,3}$")
 ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;]{5,199}[^\W_])")
@@ -75,21 +92,34 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _ip6(text: str) -> str | None:
+    """The one spelling of an IPv6 address; None if it isn't one, or too short to be told from other text (``a::b``)."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    groups = [g for g in text.split(":") if g]
+    return str(address) if len(groups) > 3 or (groups and any(c.isdigit() for c in text)) else None
+
+
 def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     """(from, to, kind, spelling, gender) of what is detected, left to right, without overlaps."""
     found = []
     for start, end in _windows(text):
         for m in FINDER.finditer(text, start, end):
             kind, x = m.lastgroup, m.group()
-            found.append((*m.span(), kind, x.casefold() if kind in ("mail", "secret") else x if kind == "ip" else re.sub(r"[\W_]", "", x).casefold(), ""))
+            found.append((*m.span(), kind, x.casefold() if kind == "mail" else x if kind in ("ip", "secret") else re.sub(r"[\W_]", "", x).casefold(), ""))
     named = []
     for m in TITLED.finditer(text):
         if not (m.start() and text[m.start() - 1].isalnum()):
             title = m.group().split(" ")[0].rstrip(".")
-            named.append((*m.span("who"), "name", m["who"].casefold(), "m" if title in MALE else "f" if title in FEMALE else ""))
+            named.append((*m.span("who"), "name", unicodedata.normalize("NFC", m["who"].casefold()), "m" if title in MALE else "f" if title in FEMALE else ""))
     for m in ASSIGNED.finditer(text):
         if SECRET_NAME.search(text, max(0, m.start() - 24), m.start()):
-            named.append((*m.span("value"), "secret", m["value"].casefold(), ""))
+            named.append((*m.span("value"), "secret", m["value"], ""))
+    for m in IP6.finditer(text) if "::" in text or text.count(":") > 6 else ():
+        if (address := _ip6(m.group())) is not None:
+            named.append((*m.span(), "ip6", address, ""))
     if not named:
         return found
     out, end = [], 0
@@ -118,7 +148,8 @@ def _letters(stream: Iterator[int], alphabet: str, n: int) -> str:
 
 
 def _shaped(stream: Iterator[int], like: str) -> str:
-    return "".join(_letters(stream, "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz", 1) if c.isalnum() else c for c in like)
+    kinds = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return "".join(_letters(stream, kinds[0 if c.isdigit() else 1 if c.isupper() else 2], 1) if c.isalnum() else c for c in like)
 
 
 def _luhn(digits: str) -> int:
@@ -126,7 +157,7 @@ def _luhn(digits: str) -> int:
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
+    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" or "ἀ" <= word[0] <= "῿" else "latin"
 
 
 def draw(key: bytes, kind: str, spelling: str, gender: str, attempt: int) -> str:
@@ -140,6 +171,8 @@ def draw(key: bytes, kind: str, spelling: str, gender: str, attempt: int) -> str
         return f"{local}@{_shaped(_stream(key, 'domain', domain), '.'.join(labels))}.example"
     if kind == "ip":
         return ".".join(str(1 + next(bits) % 254) for _ in range(4))
+    if kind == "ip6":
+        return "2001:db8:" + ":".join(_letters(bits, "123456789abcdef", 1) + _letters(bits, "0123456789abcdef", 3) for _ in range(6))
     if kind == "name":
         words = []
         for i, word in enumerate(spelling.split(" ")):
@@ -149,14 +182,17 @@ def draw(key: bytes, kind: str, spelling: str, gender: str, attempt: int) -> str
             words.append(body[:-1] + vowels[0] if given and gender == "f" else body + _letters(bits, consonants, 1))
         return " ".join(words)
     if kind == "secret":
-        prefix = next((p for p in ("akia", "sk-", "ghp_", "xoxb-", "xoxp-") if spelling.startswith(p)), "")
+        prefix = next((p for p in ("AKIA", "sk-", "ghp_", "xoxb-", "xoxp-") if spelling.startswith(p)), "")
         if prefix:
             return prefix + _shaped(bits, spelling[len(prefix) :])
-        if re.fullmatch("[0-9a-f]+", spelling):
-            return _letters(bits, "0123456789", 1) + _letters(bits, "0123456789abcdef", len(spelling) - 1)
+        if re.fullmatch("[0-9a-fA-F]+", spelling):
+            out = _letters(bits, "0123456789", 1) + _letters(bits, "0123456789abcdef", len(spelling) - 1)
+            return out.upper() if spelling.isupper() else out
         return _shaped(bits, spelling)
     if kind == "iban":
         return spelling[:2] + _shaped(bits, spelling[2:])
+    if kind == "phone" and spelling[0] == "0":  # a national number keeps its zero
+        return "0" + _letters(bits, "0123456789", len(spelling) - 1)
     digits = _letters(bits, "0123456789", len(spelling))
     if kind == "card":
         other = next(d for d in "0123456789" if (_luhn(digits[:-1] + d) == 0) == (_luhn(spelling) == 0))
@@ -171,7 +207,9 @@ def written(kind: str, surrogate: str, like: str) -> str:
         out = "".join(next(signs) if c.isalnum() else c for c in like)
         return out.upper() if kind == "iban" else out
     if kind == "name":
-        return surrogate.upper() if like.isupper() and len(like) > 1 else " ".join(w.capitalize() for w in surrogate.split(" "))
+        return " ".join(w.upper() if x.isupper() else w.capitalize() for w, x in zip(surrogate.split(" "), like.split(" "), strict=True))
+    if kind == "secret":  # in its own letter case already
+        return surrogate
     return surrogate.upper() if like.isupper() else surrogate
 
 
