@@ -9,7 +9,7 @@ entities are gathered once each, surrogates that collide are found by grouping a
 to a further draw until none collides.
 
 Which entities moved is a small exception list. It is broadcast while it is below ``MOST_BROADCAST`` rows; beyond that each
-document gets its own entries by a join on doc_id (which then has to be unique).
+text gets its own entries by a join on its hash. Both ways give the same rows, and doc_id isn't read.
 
 Null texts stay null, empty ones empty; texts are searched whole; repeated rows are rewritten alike; an empty table gives no
 rows. Other columns stay as they are.
@@ -270,14 +270,17 @@ def replace(docs: DataFrame, key: bytes, most_broadcast: int = MOST_BROADCAST) -
         shared = spark.sparkContext.broadcast({(r[0], r[1]): (r[2], r[3]) for r in special.collect()})
     else:
 
-        def per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(d, *e) for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for e in {e[2:4] for e in entities(x or "")}]
+                out = [(k, *e) for k, x in zip(batch.column("_text_key").to_pylist(), batch.column("text").to_pylist(), strict=True) for e in {e[2:4] for e in entities(x or "")}]
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["_id", "kind", "spelling"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["_key", "kind", "spelling"])
 
-        per = docs.select("doc_id", "text").mapInArrow(per_doc, "_id long, kind string, spelling string").join(special, ["kind", "spelling"]).groupBy("_id").agg(F.collect_list(F.struct("kind", "spelling", "attempt", "gender")).alias("_special"))
-        rows = docs.join(per, docs["doc_id"] == per["_id"], "left").drop("_id")
+        # By the text's hash, which is never null and needs no id; texts that share one get each other's entries, which do nothing.
+        rows = docs.withColumn("_text_key", F.xxhash64("text"))
+        held = rows.select("_text_key", "text").mapInArrow(per_text, "_key long, kind string, spelling string").distinct()
+        per = held.join(special, ["kind", "spelling"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "spelling", "attempt", "gender")).alias("_special"))
+        rows = rows.join(per, rows["_text_key"] == per["_key"], "left").drop("_key", "_text_key")
     schema = docs.withColumn("n_entities", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
