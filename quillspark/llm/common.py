@@ -35,6 +35,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones clashes with, whatever their letter case."""
+    lower = {c.lower() for c in taken}
+    while any(c.startswith(name) for c in lower):
+        name = f"_{name}"
+    return name
+
+
 def with_prefix(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], value: Column | None = None) -> DataFrame:
     """Exact running position of every row within its key, without one task per key.
 
