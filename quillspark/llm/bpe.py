@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .chunks import PieceCache, pieces
 
-#: Distinct chunks that a worker remembers, at some 200 bytes each.
-MOST_CHUNKS = 900_000
+#: Distinct chunks that a worker remembers, at some 200 bytes each, and pairs of tokens, at some 150.
+MOST_CHUNKS, MOST_PAIRS = 900_000, 1_000_000
 
 
 class RankEncoder:
@@ -100,6 +100,8 @@ class RankEncoder:
                     limit, a = a, self.split(a)[1]
                     if a == limit:
                         break
+        if len(self.fits) >= MOST_PAIRS:
+            self.fits.clear()  # what is needed again is worked out again
         self.fits[left, right] = ok
         return ok
 
@@ -168,7 +170,9 @@ def _encoder_of_texts(path: str, pattern: str) -> tuple[RankEncoder, Callable[[s
     packed = lambda text: array("i", tool.encode(text)).tobytes()
     cache = PieceCache(lambda texts: list(map(packed, texts)), MOST_CHUNKS)
 
+    @functools.lru_cache(maxsize=1)
     def run(text: str | None) -> bytes:
+        """Copies that follow each other, as a mixture draws them, are encoded once."""
         chunks = pieces(text or "")
         return packed(text or "") if chunks is None else b"".join(cache.parts(chunks))
 
@@ -185,10 +189,13 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 1_000):  # ids take several times the room of the text
                 batch = big.slice(at, 1_000)
-                raw, lossless = [], []
-                for x in batch.column("text").to_pylist():
+                raw, lossless, before = [], [], b""
+                for i, x in enumerate(batch.column("text").to_pylist()):
                     raw.append(ids := encoded(x))
-                    lossless.append(tool.decode(np.frombuffer(ids, "<i4").tolist()) == (x or "").encode("utf-8", "surrogatepass"))
+                    if i == 0 or ids is not before:
+                        same = tool.decode(np.frombuffer(ids, "<i4").tolist()) == (x or "").encode("utf-8", "surrogatepass")
+                    lossless.append(same)
+                    before = ids
                 sizes = np.fromiter(map(len, raw), "i8", len(raw)) >> 2
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype("i4")), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 new = {"ids": ids, "n_tokens": pa.array(sizes), "lossless": pa.array(lossless, pa.bool_())}
