@@ -15,14 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, hash_buckets, with_prefix
+from .common import bucket_bits, free_name, hash_buckets, materialize, with_prefix
 
 
 def assign(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, text_crc32, law, shard, slot, grown_shard) for every row of docs."""
-    bits = bucket_bits(docs.count())
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
+    short = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_stratum"),
@@ -30,6 +29,8 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), "doc_id").alias("_h"),
     )
+    rows = materialize(short, "interleave-rows")  # texts are read once
+    bits = bucket_bits(rows.count())
     ranked = with_prefix(rows, ["_stratum"], hash_buckets("_h", bits), ["_h", "doc_id", "text_crc32", "size"])
     fraction = ranked.withColumn("_f", (F.col("_rank") + 0.5) / F.col("_key_rows")).drop("_rank", "_before", "_key_rows", "_key_total")
     placed = with_prefix(fraction, [], F.floor(F.col("_f") * (1 << bits)), ["_f", "_stratum", "_h", "doc_id", "text_crc32", "size"])
@@ -49,7 +50,10 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
 def write(docs: DataFrame, path: str, shards: int = 40, seed: int = 17) -> None:
     """Write the documents as one folder per shard, rows in slot order within each file.
 
-    Documents meet their places in a join on doc_id, so this needs doc_id to be unique and not null.
+    Documents meet their places in a join on doc_id, so this needs doc_id to be unique and not null. A column of docs that is
+    called shard or slot is written under the name with underscores before it that is still free.
     """
+    own = [c for c in docs.columns if c.lower() in ("shard", "slot")]
+    kept = docs.withColumnsRenamed({c: free_name(c.lower(), [*docs.columns, "shard", "slot"]) for c in own})
     places = assign(docs, shards, seed).select("doc_id", "shard", "slot")
-    docs.drop("shard", "slot").join(places, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    kept.join(places, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
