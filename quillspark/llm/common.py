@@ -88,11 +88,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable for every id that has an edge: (id, component), by alternating large and small stars.
 
     edges: (u long, v long) in any direction, repeated or looped edges allowed. Each round attaches neighbours to the
-    smallest one known; a hub's neighbours are never gathered, only their minimum is, and the join that hands it back is
-    one that adaptive execution can split. Lineage is cut each round by a written table.
+    smallest one known; a hub's neighbours are never gathered, only their minimum is. The minima are written before they are
+    joined back, so that Spark knows their size: few are broadcast, and with many both sides are plain shuffles, of which
+    adaptive execution can split a hub's. Lineage is cut each round by a written table.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        low = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "lows")
         out = pairs.join(low, pairs.u == low.k)
         if large:
             return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
