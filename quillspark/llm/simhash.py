@@ -10,7 +10,8 @@ copies cost one row however many there are. Classes within ``distance`` bits are
   if any coordinate differs by more than d (the triangle inequality), and survivors are verified bit by bit.
 
 No link is lost. A table's row names a class and the smallest one of its local component, so output is linear even
-where all members are similar; groups too large for one task are first cut again by the same rule over their other bits.
+where all members are similar; groups too large for one task are first cut again by the same rule over their other bits, as
+often as it takes.
 
 Null texts have no words; a text without words has fingerprint zero and is linked like any other; fewer words than a shingle
 make one short shingle; repeated rows share a class. Rows with null doc_id get the component of their fingerprint's class
@@ -37,24 +38,36 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}", SEED) for i in range(32)
 GROUP_LIMIT = 100_000
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The 64-bit SimHash of one text."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
-    line = b" ".join(parts)
+def normal_line(text: str | None) -> bytes:
+    """A text's words, ASCII letters in lower case, joined by single spaces."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def shingle_hashes(line: bytes, words: int) -> np.ndarray:
+    """The hash of each shingle of a line's words, repeats included; one short shingle if there are fewer words."""
+    if not line:
+        return np.zeros(0, "<u8")
+    digest, parts = xxhash.xxh64_intdigest, line.split(b" ")
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([digest(line, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, parts), "i8", len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     ones = np.zeros(64, "i8")
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The 64-bit SimHash of one text."""
+    return majority(shingle_hashes(normal_line(text), words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp long) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -101,7 +114,7 @@ def _stars(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
+def near_pairs(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
     """Which pairs (i, j) survive the coordinate filter and the check of their bits."""
     keep = np.arange(len(i))
     for part in range(0, table.shape[1], 8):
@@ -140,7 +153,7 @@ def _large_group(fp: np.ndarray, table: np.ndarray, distance: int, mask: int) ->
             queue.append(int(rest[0]))
             rest = rest[1:]
         x = queue.pop()
-        near = _near(fp, table, np.full(len(rest), x), rest, distance)
+        near = near_pairs(fp, table, np.full(len(rest), x), rest, distance)
         found = rest[near]
         rest = rest[~near]
         us.append(np.full(len(found), x))
@@ -162,7 +175,7 @@ def _link(group: np.ndarray, mask: np.ndarray, fp: np.ndarray, ids: np.ndarray,
         i = np.flatnonzero(small & (left >= step))
         if not len(i):
             break
-        hit = _near(fp, table, i, i + step, distance)
+        hit = near_pairs(fp, table, i, i + step, distance)
         us.append(i[hit])
         vs.append(i[hit] + step)
     for a, b in zip(starts[sizes > 64], ends[sizes > 64], strict=True):
@@ -178,38 +191,54 @@ def _link(group: np.ndarray, mask: np.ndarray, fp: np.ndarray, ids: np.ndarray,
     return ids[order][moved], ids[order][root[moved]]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], least: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of whole groups, at least so many at a time, of batches that are sorted by the first column."""
+    held: list[tuple] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(tuple(np.asarray(batch.column(c)) for c in columns))
+            if sum(len(x[0]) for x in held) < least:
+                continue
+        if not held:
+            continue
+        rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        group = rows[0]
+        whole = len(group) if batch is None else int(np.searchsorted(group, group[-1]))  # the last group may go on
+        held = [tuple(x[whole:] for x in rows)] if whole < len(group) else []
+        if whole:
+            yield tuple(x[:whole] for x in rows)
+
+
 def links(classes: DataFrame, distance: int = 4) -> DataFrame:
     """(u, v): edges between class ids that connect the classes (fp, id) as all pairs within distance do."""
     masks = [_signed(m) for m in table_masks(classes.count(), distance)]
-    keyed = classes.select("id", "fp", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for m in masks])).alias("t")).select("id", "fp", "t.mask", "t.key", F.lit(0).cast("long").alias("more"), F.lit(0).cast("long").alias("sub"))
-    hot = keyed.groupBy("mask", "key").count().where(F.col("count") > GROUP_LIMIT).select("mask", "key", F.lit(True).alias("hot"))
-    if hot.count():
-        # Each hot group again by the blocks of its other bits: close pairs agree in at least one of them.
-        def finer(mask: int) -> Column:
-            free = [b for b in range(64) if not (mask & (1 << 64) - 1) >> b & 1]
-            parts = [_signed(x) for x in _blocks(free, distance + 1)]
-            return F.array(*[F.struct(F.lit(x).alias("more"), F.col("fp").bitwiseAND(F.lit(x)).alias("sub")) for x in parts])
-
-        whole = F.array(F.struct("more", "sub"))
-        again = F.coalesce(*[F.when(F.col("hot") & (F.col("mask") == m), finer(m)) for m in masks], whole)
-        keyed = keyed.join(hot, ["mask", "key"], "left").withColumn("again", again).drop("more", "sub").select("id", "fp", "mask", "key", F.explode("again").alias("a")).select("id", "fp", "mask", "key", "a.more", "a.sub")
-    keyed = keyed.select("id", "fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"), F.xxhash64("mask", "key", "more", "sub").alias("g"))
+    tables = F.array(*[F.struct(F.lit(m).alias("mask"), F.xxhash64(F.lit(m), F.col("fp").bitwiseAND(F.lit(m))).alias("g")) for m in masks])
+    keyed = classes.select("id", "fp", F.explode(tables).alias("t")).select("id", "fp", "t.mask", "t.g")
+    done = None
+    while True:
+        hot = keyed.groupBy("g", "mask").count().where(F.col("count") > GROUP_LIMIT).select("g", "mask")
+        hot = materialize(hot, "hot-groups")
+        crowded = [r.mask for r in hot.select("mask").distinct().collect()]  # of the few masks, not of the groups
+        if not crowded:
+            break
+        # Each hot group again by the blocks of its other bits: close pairs agree in at least one of them. Members differ, so
+        # groups shrink with every round.
+        finer = []
+        for m in crowded:
+            free = [b for b in range(64) if not (m & (1 << 64) - 1) >> b & 1]
+            finer += [(m, _signed(x)) for x in _blocks(free, distance + 1)]
+        blocks = classes.sparkSession.createDataFrame(finer, "mask long, more long")
+        cold = keyed.join(hot.select("g"), "g", "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        again = keyed.join(hot, ["g", "mask"], "left_semi").join(F.broadcast(blocks), "mask")
+        regrouped = F.xxhash64("g", "more", F.col("fp").bitwiseAND(F.col("more")))
+        keyed = materialize(again.select("id", "fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"), regrouped.alias("g")), "finer-groups")
+    keyed = keyed if done is None else done.unionByName(keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held.append(tuple(np.asarray(batch.column(c)) for c in ("g", "mask", "fp", "id")))
-                if sum(len(x[0]) for x in held) < 100_000:
-                    continue
-            if not held:
-                continue
-            group, mask, fp, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = len(group) if batch is None else int(np.searchsorted(group, group[-1]))  # the last group may go on
-            held = [(group[whole:], mask[whole:], fp[whole:], ids[whole:])] if whole < len(group) else []
-            if whole:
-                u, v = _link(group[:whole], mask[:whole].view("u8"), fp[:whole].view("u8"), ids[:whole], distance)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        for group, mask, fp, ids in whole_groups(batches, ["g", "mask", "fp", "id"]):
+            u, v = _link(group, mask.view("u8"), fp.view("u8"), ids, distance)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return keyed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.llm import nearcopies, simhash
 
 from .conftest import ROWS
+from .test_groups import components_of
 
 
 def near_texts():
@@ -59,3 +61,41 @@ def test_keep_first_judges_rows(spark):
     rows = [(3, "b one two"), (5, "a text of its own"), (5, "B  one two")]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == rows[:2]
+
+
+def test_large_groups_keep_their_links(spark, monkeypatch):
+    """A crowd around one text, whose groups are cut into slices; brute force over the fingerprints' pairs."""
+    monkeypatch.setattr(nearcopies, "GROUP", 40)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)] + ["other words " + str(i) + " that are alone here" for i in range(30)]
+    for _ in range(300):
+        edited = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 3)):
+            edited[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(edited))
+    kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(31))
+
+
+def test_forest_connects_what_is_near():
+    rng = np.random.default_rng(5)
+    fp = np.concatenate([rng.integers(0, 1 << 63, 3, dtype="u8")[rng.integers(0, 3, 60)] ^ (np.uint64(1) << rng.integers(0, 63, 60).astype("u8")), rng.integers(0, 1 << 63, 5, dtype="u8")])
+    u, v = nearcopies.forest(fp)
+    gap = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    want = components_of(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if gap[i, j] <= nearcopies.MOST_BITS])
+    assert components_of(len(fp), list(zip(u.tolist(), v.tolist(), strict=True))) == want and (gap[u, v] <= nearcopies.MOST_BITS).all()
+
+
+def test_a_pair_at_the_similarity_is_within_the_bits():
+    """Random texts with Jaccard similarity near 0.8: hardly any pair differs in more bits than candidates may."""
+    rng, gaps = random.Random(8), []
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        edited = list(words)
+        for k in range(0, len(words), 45):
+            edited[k] = "other"
+        a, b = plain_shingles(" ".join(words)), plain_shingles(" ".join(edited))
+        if len(a & b) >= 0.8 * len(a | b):
+            gaps.append((simhash.fingerprint(" ".join(words), 5) ^ simhash.fingerprint(" ".join(edited), 5)).bit_count())
+    assert len(gaps) > 100 and max(gaps) <= nearcopies.MOST_BITS
