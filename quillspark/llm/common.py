@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_FOLDER: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
+
+@functools.cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Without one, local runs (tests) get a temporary folder and clusters raise."""
+    path = _FOLDER.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _local_folder()
     return path.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the intermediate tables written inside, deleted at the end; whatever is to stay is written elsewhere."""
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        _delete(spark, folder)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -28,11 +57,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, parent)
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -92,12 +118,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joined back, so that Spark knows their size: few are broadcast, and with many both sides are plain shuffles, of which
     adaptive execution can split a hub's. Lineage is cut each round by a written table.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+        """The rewired pairs, and the written minima that they are read from."""
         low = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "lows")
         out = pairs.join(low, pairs.u == low.k)
         if large:
-            return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return out.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), low
+        return out.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), low
 
     def both(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -108,9 +135,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = mark(pairs)
     for _ in range(max_rounds):
-        spread = star(both(pairs), large=True).where("u <> v").distinct()
-        following = materialize(star(spread, large=False).where("u <> v").distinct(), "edges")
-        discard(pairs)
+        spread, first = star(both(pairs), large=True)
+        spread = materialize(spread.where("u <> v").distinct(), "edges")
+        following, second = star(spread, large=False)
+        following = materialize(following.where("u <> v").distinct(), "edges")
+        for old in (pairs, spread, first, second):
+            discard(old)
         pairs, before, seen = following, seen, mark(following)
         if seen == before:
             break

@@ -7,7 +7,8 @@ may change.
 
 The as-of join deals rows by URL and slice of time: the last response of each (URL, slice) is carried to later slices in a
 window over these few rows, and within a slice a window finishes the job, so one URL with a third of all captures is
-spread over many tasks.
+spread over many tasks. Slices lie between sampled quantiles of time and are cut evenly again as the captures grow, to about
+``SLICE_ROWS`` captures each.
 
 A capture with null URL or time is an ``unplaced`` revisit; other outcomes are ``resolved``, ``no_response`` and ``mismatch``.
 Captures at the same time aren't earlier; of responses at one time the largest record_id counts. Repeated rows are
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 #: Headers of a not-modified answer that replace the stored ones (fixed values).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 #: Query parameters that don't name a resource (fixed values).
-TRACKING = "^(utm_[^=]*|gclid|fbclid|msclkid|ref|sessionid|phpsessid)(=|$)"
-SLICES = 64
+TRACKING = "^(utm_[^=]*|gclid|fbclid|msclkid|sessionid|phpsessid)(=|$)"
+SLICES, SLICE_ROWS = 64, 100_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -65,9 +66,14 @@ def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
     )
     placed = rows.where("url_key is not null and ts is not null")
     # Edges of even slices of time, by sampled quantiles: a bounded list, and any edges give the same result.
-    edges = placed.agg(F.percentile_approx("ts", [i / slices for i in range(1, slices)], 1_000)).first()[0] or []
-    points = F.array(*[F.lit(x) for x in sorted(set(edges))]) if edges else None
-    placed = placed.withColumn("_slice", F.size(F.filter(points, lambda e: e <= F.col("ts"))) if edges else F.lit(0))
+    time = F.col("ts").cast("double")
+    n, low, high, edges = placed.agg(F.count("*"), F.min(time), F.max(time), F.percentile_approx(time, [i / slices for i in range(1, slices)], 1_000)).first()
+    finer = max(1, n // (slices * SLICE_ROWS))
+    points = F.array(*[F.lit(float(x)) for x in sorted({low or 0.0, *(edges or [])})])
+    coarse = F.size(F.filter(points, lambda e: e <= time))  # from 1
+    start, width = F.element_at(points, F.greatest(coarse, F.lit(1))), F.coalesce(F.get(points, coarse), F.lit(float(high or 0.0))) - F.element_at(points, F.greatest(coarse, F.lit(1)))
+    part = F.least(F.floor((time - start) / F.when(width > 0, width).otherwise(F.lit(1.0)) * finer), F.lit(finer - 1))
+    placed = placed.withColumn("_slice", coarse.cast("long") * finer + (part if finer > 1 else F.lit(0)))
 
     last_in = placed.where("kind = 'response'").groupBy("url_key", "_slice").agg(F.max_by("_entry", F.struct("ts", "record_id")).alias("_last"))
     slots = placed.select("url_key", "_slice").distinct().join(last_in, ["url_key", "_slice"], "left")
@@ -132,7 +138,7 @@ c AS (SELECT p * 2 AS id, url, p * 10 AS ts, true AS full_one, CASE WHEN p % 5 =
   CASE WHEN p % 5 = 4 THEN NULL WHEN p % 7 = 3 THEN '"changed"' ELSE tag END, p::VARCHAR, NULL, NULL, p FROM p),
 b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM c),
 k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS host, regexp_extract(bare, '^[^/?]*([^?]*)', 1) AS path,
-  list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|msclkid|ref|sessionid|phpsessid)(=|$)'))) AS q FROM b),
+  list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|msclkid|sessionid|phpsessid)(=|$)'))) AS q FROM b),
 u AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM k),
 s AS (SELECT *, last_value(CASE WHEN full_one THEN {'id': id, 'etag': etag, 'lm': lm, 'tag': tag, 'size': size} END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, full_one, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM u),
 o AS (SELECT *, CASE WHEN r IS NULL THEN 'no_response' WHEN etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN etag = r.etag THEN 'resolved' ELSE 'mismatch' END WHEN lm = r.lm THEN 'resolved' ELSE 'mismatch' END AS outcome FROM s WHERE NOT full_one)

@@ -1,0 +1,84 @@
+"""Learning and scoring against plain Python: sets, dictionaries and one gram at a time."""
+
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import langid
+
+WORD = (1 << 64) - 1
+
+
+def plain_grams(text):
+    """Hashes of the 4-grams of lower-case letters, other runs as one space, a space at either end."""
+    line = ""
+    for c in f" {text} ":
+        c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        if c != " " or not line.endswith(" "):
+            line += c
+    out = []
+    for i in range(len(line) - 3):
+        h = ord(line[i])
+        for c in line[i + 1 : i + 4]:
+            h = h * 0x100000001B3 & WORD ^ ord(c)
+        h = h * 0x9E3779B97F4A7C15 & WORD
+        h ^= h >> 29
+        out.append(h * 0xBF58476D1CE4E5B9 & WORD)
+    return out
+
+
+def slots_of(gram):
+    return [gram >> (64 - 20 - 20 * i) & (1 << 20) - 1 for i in range(2)]
+
+
+def plain_model(rows):
+    """Slots of each language: grams that enough of its documents hold, compared with the other languages."""
+    n = Counter(lang for _, lang in rows)
+    held = defaultdict(Counter)
+    for text, lang in rows:
+        for g in set(plain_grams(text)):
+            held[g][lang] += 1
+    filled = {lang: set() for lang in sorted(n)}
+    for g, by in held.items():
+        most = max(by[x] / n[x] for x in n)
+        for lang in filled:
+            least = min(langid.LEAST_DOCS, max(1, n[lang] // 10))
+            if by[lang] >= least and by[lang] / n[lang] >= langid.LEAST_SHARE * most:
+                filled[lang].update(slots_of(g))
+    return filled
+
+
+def plain_score(filled, text):
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    grams, real = plain_grams(text), []
+    for slots in filled.values():
+        rate = (len(slots) / (1 << 20)) ** 2
+        hits = sum(all(s in slots for s in slots_of(g)) for g in grams)
+        real.append(max(hits - len(grams) * rate, 0) / (1 - rate))
+    best = max(range(len(real)), key=lambda i: (real[i], -i))
+    return list(filled)[best], (real[best] / sum(real) if sum(real) else 0.0)
+
+
+@pytest.mark.parametrize("languages", [3, 12])
+def test_equals_plain_python(spark, languages):
+    rng = random.Random(languages)
+    syllables = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnoprstuvzäéñ") for _ in range(3)) for _ in range(12)] for i in range(languages)}
+    common = ["the", "one", "two"]
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(syllables[lang]) for _ in range(2)) if rng.random() < 0.9 else rng.choice(common) for _ in range(n))
+
+    known = [(text(lang, rng.randint(5, 30)), lang) for lang in syllables for _ in range(rng.randint(4, 35))]
+    model = langid.fit(spark.createDataFrame(known, "text string, lang string"))
+    filled = plain_model(known)
+    assert model.languages == list(filled)
+    asked = [text(rng.choice(list(syllables)), rng.randint(1, 20)) for _ in range(200)] + ["", "123 !?", "x", "Ä1ä", "the one", "ЖЖ жж", "a" * 3000]
+    got = {r.i: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(list(enumerate(asked)), "i int, text string").repartition(3), model).collect()}
+    for i, x in enumerate(asked):
+        lang, score = plain_score(filled, x)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9), x
+    assert {len(model.slots.tobytes()) >> 20} == {1 if languages <= 8 else 4}
+    assert spark.createDataFrame([(None,)], "text string").transform(lambda d: langid.predict(d, model)).select("lang_pred", F.col("score")).first()[:] == ("und", 0.0)
