@@ -47,10 +47,10 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         _delete(spark, folder)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write df to the shared folder (or another one) and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
