@@ -113,11 +113,15 @@ def _usable() -> Column:
     return F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & fine, F.lit(False))
 
 
+def _key() -> Column:
+    return F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64(F.lit(1), "label", "embedding").alias("b"))
+
+
 def vector_classes(rows: DataFrame) -> DataFrame:
     """(c long, id, n, label, embedding, k): usable vectors, equal ones once; id is the smallest vec_id, c a number of the written
     row, and k a 128-bit hash of label and vector that stands for them in joins."""
-    one = rows.where("k is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("k").alias("k"))
-    return materialize(one.withColumn("c", F.monotonically_increasing_id()), "vector-classes")
+    one = rows.where("k is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    return materialize(one.withColumn("k", _key()).withColumn("c", F.monotonically_increasing_id()), "vector-classes")
 
 
 class _Grid(NamedTuple):
@@ -280,8 +284,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     kind = "f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
     doubles = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))  # no negative zero
     rows = vectors.select("vec_id", "label", doubles.alias("embedding"))
-    key = F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64(F.lit(1), "label", "embedding").alias("b"))
-    rows = rows.withColumn("k", F.when(_usable(), key))
+    rows = rows.withColumn("k", F.when(_usable(), _key()))
     classes = vector_classes(rows)
     found = None
     for part in class_links(classes, threshold, recall, kind):
