@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,14 +16,18 @@ KANJI_DIGITS = ("〇零一二三四五六七八九", "00123456789")
 SYNONYMS = {"36協定": "三六協定について"}
 
 
+#: Characters that NFKC leaves alone whatever stands before them: ASCII, Latin, Cyrillic, kana and common ideographs.
+STABLE = "\\u0000-\\u009f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žЀ-҂Ҋ-ԯ、-〩ぁ-ゖァ-ヺー-ヾ一-鿿"
+
+
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC; Spark has no built-in for it."""
+    """Unicode NFKC. Spark has no built-in for it, so texts with any other character than STABLE ones go through Python."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return run(text)
+    return F.coalesce(run(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
 
 
 def folded(text: Column) -> Column:
@@ -30,10 +36,49 @@ def folded(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Character bigrams of each run of letters, digits and underscores; a run of one character stands for itself."""
-    runs = F.filter(F.split(folded(text), r"[^\p{L}\p{N}_]+"), lambda s: s != "")
-    grams = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda s: F.when(F.length(s) == 1, F.array(s)).otherwise(grams(s))))
+    """Character bigrams of each run of letters, digits and underscores; a run of one character stands for itself.
+
+    A look-ahead takes the pair that begins at each character, so all pairs come from one pass of one expression.
+    """
+    w = r"[\p{L}\p{N}_]"
+    return F.regexp_extract_all(folded(text), F.lit(f"(?=({w}{{1,2}}))(?:{w}(?={w})|(?<!{w}){w}(?!{w}))"), F.lit(1))
+
+
+@functools.cache
+def _folding() -> np.ndarray:
+    """Code point -> its folded letter, digit or underscore; 0 for what ends a run."""
+    out = np.zeros(0x110000, "u8")
+    for c in range(0x110000):
+        x = chr(c)
+        if x == "_" or unicodedata.category(x)[0] in "LN":
+            out[c] = ord(x.lower()) if len(x.lower()) == 1 else c
+    for sign, digit in zip(*KANJI_DIGITS, strict=True):
+        out[ord(sign)] = ord(digit)
+    return out
+
+
+def counted_bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As bigrams of the NFKC form, counted, for use inside tasks (Spark can count a document's tokens only by a shuffle).
+
+    Gives the place where each text's tokens begin, and one more; the tokens, two 21-bit code points each, the second 0 for a lone
+    one; and their counts.
+    """
+    plain = [x if x.isascii() else unicodedata.normalize("NFKC", x) for x in texts]
+    plain = [x.lower() if "İ" in x or "Σ" in x else x for x in plain]  # their lower case depends on more than the letter
+    sizes = np.fromiter(map(len, plain), "i8", len(plain)) + 1
+    points = _folding()[np.frombuffer("".join([f"{x} " for x in ["", *plain]]).encode("utf-32-le", "surrogatepass"), "<u4")]
+    of = np.repeat(np.arange(len(plain), dtype="u8"), sizes) << np.uint64(42)
+    here, after, held = points[1:], np.append(points[2:], np.uint64(0)), points[1:] > 0
+    pair, lone = held & (after > 0), held & (after == 0) & (points[:-1] == 0)
+    keys = np.concatenate((of[pair] | here[pair] << np.uint64(21) | after[pair], of[lone] | here[lone] << np.uint64(21)))
+    keys, counts = np.unique(keys, return_counts=True)
+    starts = np.searchsorted(keys, np.arange(len(plain) + 1, dtype="u8") << np.uint64(42))
+    return starts, keys & np.uint64((1 << 42) - 1), counts
+
+
+def bigram_text(code: int) -> str:
+    """The token of a code of counted_bigrams."""
+    return chr(code >> 21) + (chr(code & 0x1FFFFF) if code & 0x1FFFFF else "")
 
 
 def collapsed(text: Column) -> Column:

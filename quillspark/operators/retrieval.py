@@ -6,12 +6,15 @@ Every step is a DataFrame of hits keyed by (query_id, id), for any number of que
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import materialize
+
 RRF_K, CANDIDATES, HEAD, RESULTS = 60, 30, 16, 4
 THRESHOLD, FLOOR, SAME_RATIO = 0.5, 1.0, 0.98
 
@@ -61,6 +64,17 @@ def overlap_score(query_tokens: Column, tokens: Column) -> Column:
     return F.ln((held + 0.5) / (F.size(q) - held + 0.5))
 
 
+def alike(a: str, b: str, ratio: float = SAME_RATIO) -> bool:
+    """Whether two bodies' matching ratio reaches ratio. Lengths and the letters in common bound it from above, so the matching itself,
+    whose time is the product of the lengths, is left for bodies that may reach it."""
+    if a == b:
+        return True
+    most = min(len(a), len(b))
+    if 2 * most < ratio * (len(a) + len(b)) or 2 * (Counter(a) & Counter(b)).total() < ratio * (len(a) + len(b)):
+        return False
+    return difflib.SequenceMatcher(None, a, b).ratio() >= ratio
+
+
 def without_near_duplicates(hits: DataFrame, n: int = RESULTS, ratio: float = SAME_RATIO) -> DataFrame:
     """Walk each query's hits in order, skip those too like one kept, stop at n. Needs (query_id, position, text).
 
@@ -74,7 +88,7 @@ def without_near_duplicates(hits: DataFrame, n: int = RESULTS, ratio: float = SA
             if len(kept) == n:
                 break
             body = " ".join((text or "").split())
-            if all(difflib.SequenceMatcher(None, body, other).ratio() < ratio for other in bodies):
+            if not any(alike(body, other, ratio) for other in bodies):
                 kept.append(row)
                 bodies.append(body)
         return pdf.loc[kept]
@@ -93,8 +107,8 @@ def search(
     """Whole search for queries (query_id, text, embedding) over chunks (id, text, embedding)."""
     from . import lexical, vector
 
-    nearest = vector.top(vector.distances(queries, chunks), CANDIDATES)
-    ranked = lexical.top(lexical.scores(queries, lexical.tokens(chunks)), CANDIDATES)
+    nearest = vector.nearest(queries, chunks, CANDIDATES)
+    ranked = lexical.top(lexical.scores(queries, materialize(lexical.index(chunks), "lexical-index")), CANDIDATES)
     hits = fuse(nearest, ranked, threshold).join(chunks.select("id", "text"), "id")
     if reranker is not None:
         asked = queries.select("query_id", F.col("text").alias("_q"))

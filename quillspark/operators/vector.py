@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that may be broadcast; more are joined in blocks.
+from ..functions.text import counted_bigrams
+
+#: Query vectors that are broadcast at once.
 MOST_QUERIES = 2_000
 
 
@@ -26,18 +32,70 @@ def normalised(v: Column) -> Column:
 def distances(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, id, distance) of every query against every vector of the corpus.
 
-    A stated set of queries, in blocks of at most MOST_QUERIES that each task holds beside its slice of the corpus; the corpus
-    isn't shuffled. Inputs are (query_id, embedding) and (id, embedding).
+    For callers that need every distance; ``nearest`` keeps a few per query within the tasks. A stated set of queries, in blocks of at most
+    MOST_QUERIES that are broadcast one after the other; the corpus isn't shuffled. Inputs are (query_id, embedding) and (id, embedding).
     """
     unit = queries.select("query_id", normalised(F.col("embedding")).alias("q"))
-    n = queries.count()
     rows = corpus.select("id", normalised(F.col("embedding")).alias("v"))
-    if n <= MOST_QUERIES:
-        return rows.crossJoin(F.broadcast(unit)).select("query_id", "id", (1 - dot(F.col("q"), F.col("v"))).alias("distance"))
-    blocks = -(-n // MOST_QUERIES)
-    parts = unit.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    return spread.join(parts, "block").select("query_id", "id", (1 - dot(F.col("q"), F.col("v"))).alias("distance"))
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    out = None
+    for i in range(blocks):
+        some = unit.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else unit
+        part = rows.crossJoin(F.broadcast(some)).select("query_id", "id", (1 - dot(F.col("q"), F.col("v"))).alias("distance"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _units(rows: list[np.ndarray]) -> np.ndarray:
+    raw = np.array(rows, "f8")
+    size = np.sqrt((raw * raw).sum(axis=1))
+    if not size.all():
+        raise ValueError("a vector of length zero has no direction")
+    return raw / size[:, None]
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 30, digits: int = 12) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest of the corpus for each query, ties in the rounded distance by id.
+
+    Every vector is compared with every query, by matrix products in the tasks, and a task keeps the k best per query, so what is shuffled
+    is at most k rows per query and task. Queries go to the tasks in blocks of MOST_QUERIES. Null vectors are left out.
+    """
+    asked = queries.select("query_id", "embedding").where("embedding is not null")
+    kinds = [queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()]
+    blocks, out, context = max(1, -(-asked.count() // MOST_QUERIES)), None, corpus.sparkSession.sparkContext
+    for i in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # about MOST_QUERIES rows
+        if len(some):
+            shared = context.broadcast((some["query_id"].to_numpy(), _units(list(some["embedding"]))))
+            part = corpus.select("id", "embedding").where("embedding is not null").mapInPandas(_kept(shared, k, digits), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = corpus.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    return top(out, k)
+
+
+def _kept(shared, k: int, digits: int):
+    """The task's part of ``nearest``: a running list of the k best of each query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, unit = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in names]
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            gap = np.round(1 - unit @ _units(list(batch["embedding"])).T, digits) + 0.0
+            for q in range(len(names)):
+                d, i = np.concatenate((best[q][0], gap[q])), np.concatenate((best[q][1], ids))
+                if len(d) > k:  # all that tie with the k-th stay in the running
+                    within = d <= np.partition(d, k - 1)[k - 1]
+                    d, i = d[within], i[within]
+                    order = np.lexsort((i, d))[:k]
+                    d, i = d[order], i[order]
+                best[q] = d, i
+        for name, (d, i) in zip(names, best, strict=True):
+            if len(d):
+                yield pd.DataFrame({"query_id": name, "id": i, "distance": d})
+
+    return run
 
 
 def top(distanced: DataFrame, k: int = 30) -> DataFrame:
@@ -46,7 +104,15 @@ def top(distanced: DataFrame, k: int = 30) -> DataFrame:
     return distanced.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed tokens, in built-in expressions."""
-    cells = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("i"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(cells, lambda c: c["i"] == d), F.lit(0.0), lambda a, c: a + c["s"]))
+def hashed_embedding(text: Column, dim: int = 64) -> Column:
+    """A deterministic stand-in for an embedding model: signed counts of a text's hashed bigrams."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        starts, codes, counts = counted_bigrams([x or "" for x in s])
+        hashed = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        signed = counts * np.where(hashed & np.uint64(1 << 40), 1.0, -1.0)
+        cells = (hashed % np.uint64(dim)).astype("i8")
+        return pd.Series([np.bincount(cells[a:b], signed[a:b], minlength=dim) for a, b in zip(starts, starts[1:], strict=False)], index=s.index, dtype=object)
+
+    return run(text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams
 from ..operators import evaluation, lexical, retrieval, vector
+from ..operators.tables import materialize
 from .registry import query, table
 
 #: Bigram tokens of a text in DuckDB SQL.
@@ -43,40 +44,44 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return vector.top(vector.distances(asked, rows).withColumn("distance", F.round("distance", 12) + F.lit(0.0)), 30)
+    return vector.nearest(asked, rows, 30)
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' index, written once."""
+    return materialize(lexical.index(table(spark, sf_dir, "documents"), "doc_id"), "lexical-index")
+
+
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = lexical.tokens(table(spark, sf_dir, "documents"), "doc_id")
-    return lexical.top(lexical.scores(_passages(spark, sf_dir), tokens), 30)
+    return lexical.top(lexical.scores(_passages(spark, sf_dir), _index(spark, sf_dir)), 30)
 
 
 @query(f"SELECT doc_id AS id, len({_DOC}) AS len FROM documents")
 def doc_length(spark, sf_dir):
-    return lexical.lengths(lexical.tokens(table(spark, sf_dir, "documents"), "doc_id"))
+    return lexical.lengths(lexical.index(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 @query(f"SELECT count(*) AS n, round(coalesce(avg(len({_DOC})), 1.0), 6) AS average FROM documents")
 def corpus_statistics(spark, sf_dir):
-    stats = lexical.statistics(lexical.lengths(lexical.tokens(table(spark, sf_dir, "documents"), "doc_id")))
+    stats = lexical.statistics(lexical.lengths(lexical.index(table(spark, sf_dir, "documents"), "doc_id")))
     return stats.select("n", F.round("average", 6).alias("average"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({_DOC}) AS token FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT token, count(DISTINCT doc_id) AS df, round(ln(1 + (max(n) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)), 6) AS idf FROM t, n GROUP BY token""")
 def document_frequency(spark, sf_dir):
-    tokens = lexical.tokens(table(spark, sf_dir, "documents"), "doc_id")
-    return lexical.document_frequency(lexical.postings(tokens), lexical.statistics(lexical.lengths(tokens))).select("token", "df", F.round("idf", 6).alias("idf"))
+    indexed = _index(spark, sf_dir)
+    return lexical.document_frequency(lexical.postings(indexed), lexical.statistics(lexical.lengths(indexed))).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_DOC}) AS token FROM documents) GROUP BY ALL)
 SELECT doc_id AS id, count(*) AS n_tokens, max(tf) AS max_tf, sum(tf)::BIGINT AS total_tf FROM t GROUP BY doc_id""")
 def postings_summary(spark, sf_dir):
-    posts = lexical.postings(lexical.tokens(table(spark, sf_dir, "documents"), "doc_id"))
+    posts = lexical.postings(lexical.index(table(spark, sf_dir, "documents"), "doc_id"))
     return posts.groupBy("id").agg(F.count("*").alias("n_tokens"), F.max("tf").alias("max_tf"), F.sum("tf").alias("total_tf"))
 
 
@@ -149,11 +154,11 @@ def near_duplicate_suppression(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """The whole search with the stand-in embedding on both sides."""
-    embed = lambda df: df.withColumn("embedding", F.concat(vector.hashed_embedding(bigrams(F.col("text")), 63), F.array(F.lit(0.01))))
+    embed = lambda df: df.withColumn("embedding", F.concat(vector.hashed_embedding(F.col("text"), 63), F.array(F.lit(0.01))))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     asked = embed(_passages(spark, sf_dir))
     model = lambda q, t: retrieval.overlap_score(bigrams(q), bigrams(t))
-    return retrieval.search(asked, embed(docs), 0.9, 4, model).select("query_id", "position", "id")
+    return retrieval.search(asked, materialize(embed(docs), "embedded"), 0.9, 4, model).select("query_id", "position", "id")
 
 
 @query(f"""WITH {_NEAR}, best AS (SELECT query_id, min(d) AS d FROM dist WHERE query_id <> id GROUP BY query_id),

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams
 from ..operators import chunking, navigation
 from ..operators.store import Store
 from ..operators.vector import hashed_embedding
@@ -17,7 +16,7 @@ from ..sources import files
 
 def default_embedding(text: Column) -> Column:
     """Deterministic stand-in for an embedding model; a constant part keeps any vector from being zero."""
-    return F.concat(hashed_embedding(bigrams(text), 63), F.array(F.lit(0.01)))
+    return F.concat(hashed_embedding(text, 63), F.array(F.lit(0.01)))
 
 
 def chunk_rows(units: DataFrame, embed: Callable[[Column], Column] = default_embedding, keep_code: bool = False) -> DataFrame:
