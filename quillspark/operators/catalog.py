@@ -7,6 +7,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import nfkc
 from .predicate import OPERATORS, column_value, compile_where
 
 #: Metadata keys of the engine itself; attributes never take their place (fixed values).
@@ -96,10 +97,10 @@ def describe(conditions: dict[str, Any]) -> str:
 
 def table_lines(products: DataFrame, conditions: dict[str, Any], ranking: Ranking | None = None) -> DataFrame:
     """(section, line_no, line): matches, then each relaxation, then what exceeds them, every section in its order."""
-    from pyspark.sql import Window
+    from .tables import numbered
 
     def section(df: DataFrame, number: int, title: Column) -> DataFrame:
-        lines = df.select(F.row_number().over(Window.orderBy(*rank_order(df, ranking))).alias("line_no"), row_text(df, conditions, ranking).alias("line"))
+        lines = numbered(df, rank_order(df, ranking)).select(F.col("number").alias("line_no"), row_text(df, conditions, ranking).alias("line"))
         head = df.agg(F.count("*").alias("n")).select(F.lit(0).alias("line_no"), F.format_string("%s（%d件）", title, F.col("n")).alias("line"))
         return head.unionByName(lines).select(F.lit(number).alias("section"), "line_no", "line")
 
@@ -115,8 +116,9 @@ def table_lines(products: DataFrame, conditions: dict[str, Any], ranking: Rankin
 
 def grounded(conditions: DataFrame) -> Column:
     """Whether an extracted value stands in its question: columns question, value (string), is_number (boolean)."""
-    numbers = F.transform(F.regexp_extract_all("question", F.lit(r"\p{Nd}+(?:\.\p{Nd}+)?"), F.lit(0)), lambda x: x.cast("double"))
-    return F.when(F.col("is_number"), F.exists(numbers, lambda x: x == F.col("value").cast("double"))).otherwise(F.contains("question", F.col("value")))
+    question = nfkc(F.col("question"))  # full-width digits count as digits
+    numbers = F.transform(F.regexp_extract_all(question, F.lit(r"\p{Nd}+(?:\.\p{Nd}+)?"), F.lit(0)), lambda x: x.cast("double"))
+    return F.when(F.col("is_number"), F.exists(numbers, lambda x: x == F.col("value").cast("double"))).otherwise(F.contains(question, nfkc(F.col("value"))))
 
 
 def valid_conditions(raw: dict[str, Any], schema: dict[str, str]) -> dict[str, Any]:

@@ -34,21 +34,24 @@ def _atoms(text: str, separators: list[str]) -> Iterator[str]:
             yield from _atoms(part, finer)
 
 
+def _pieces(text: str) -> list[str]:
+    """Chunks of at most SIZE characters, neighbours sharing whole parts of up to OVERLAP, short ones included."""
+    if len(text) <= SIZE:
+        return [text]
+    parts, window, size = [], [], 0
+    for atom in _atoms(text, SEPARATORS):
+        if window and size + len(atom) > SIZE:
+            parts.append("".join(window).strip())
+            while window and (size > OVERLAP or size + len(atom) > SIZE):
+                size -= len(window.pop(0))
+        window.append(atom)
+        size += len(atom)
+    return [*parts, "".join(window).strip()]
+
+
 def split_text(text: str) -> list[str]:
     """Chunks of at most SIZE characters, neighbours sharing whole parts of up to OVERLAP; too short ones are dropped."""
-    if len(text) <= SIZE:
-        parts = [text]
-    else:
-        parts, window, size = [], [], 0
-        for atom in _atoms(text, SEPARATORS):
-            if window and size + len(atom) > SIZE:
-                parts.append("".join(window).strip())
-                while window and (size > OVERLAP or size + len(atom) > SIZE):
-                    size -= len(window.pop(0))
-            window.append(atom)
-            size += len(atom)
-        parts.append("".join(window).strip())
-    return [x for x in parts if len(x.strip()) >= LEAST]
+    return [x for x in _pieces(text) if len(x.strip()) >= LEAST]
 
 
 def _indented_blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -81,23 +84,44 @@ def code_spans(text: str) -> list[tuple[int, int]]:
 
 
 def split_keeping_code(text: str) -> list[str]:
-    """As split_text, but code blocks of at most MOST_CODE characters stay whole; short prose before one goes with it."""
-    out, at = [], 0
+    """As split_text, but code blocks of at most MOST_CODE characters stay whole, and no words are lost.
+
+    Prose that fits goes with the block after it. Whatever is too short for a chunk of its own goes in front of the next chunk, whichever
+    kind that is, or to the end of the last one; a text that is too short as a whole has no chunk.
+    """
+    out: list[str] = []
+    waiting = ""
+
+    def emit(part: str) -> None:
+        nonlocal waiting
+        if not part.strip():
+            return
+        part, waiting = (f"{waiting}\n{part}", "") if waiting else (part, "")
+        if len(part.strip()) >= LEAST:
+            out.append(part)
+        else:
+            waiting = part.strip()
+
+    def emit_all(prose: str) -> int:
+        before = len(out)
+        for part in _pieces(prose):
+            emit(part)
+        return len(out) - before
+
+    at = 0
     for start, end in code_spans(text):
-        prose, block = text[at:start], text[start:end]
+        new, block = emit_all(text[at:start]), text[start:end]
         at = end
         if end - start > MOST_CODE:
-            out += split_text(prose) + split_text(block)
-            continue
-        parts = split_text(prose) if prose.strip() else []
-        if len(prose.strip()) < LEAST:
-            block = (prose.strip() + "\n" + block) if prose.strip() else block
-        elif parts and len(parts[-1]) + len(block) <= SIZE:
-            block = parts.pop() + "\n\n" + block
-        out += parts
-        if len(block.strip()) >= LEAST:
-            out.append(block)
-    return out + split_text(text[at:]) if text[at:].strip() else out
+            emit_all(block)
+        elif new and not waiting and len(out[-1]) + len(block) <= SIZE:
+            emit(out.pop() + "\n\n" + block)
+        else:
+            emit(block)
+    emit_all(text[at:])
+    if waiting and out:
+        out[-1] += f"\n{waiting}"
+    return out
 
 
 def parts_of(text: Column, keep_code: bool = False) -> Column:

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import text_id
+from .predicate import column_value, compile_where, variant_value
 from .vector import normalised
 
 CHUNKS = "id string, text string, embedding array<double>"
@@ -39,10 +41,20 @@ def integrity(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 
 def with_occurrences(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(chunk_id, text, occurrences): each text with its places, ordered by source, location as text, and id."""
+    """(chunk_id, text, n, first): each text with the number of its places and the first one by source, location as text, and id.
+
+    Both combine on the map side, so a text that stands everywhere costs no more than another. ``places`` has all of them, as rows.
+    """
+    where = F.get_json_object("metadata", "$.location")
+    found = occurrences.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min(F.struct("source", where.alias("location"), "id", "metadata")).alias("first"))
+    return chunks.select(F.col("id").alias("chunk_id"), "text").join(found, "chunk_id")
+
+
+def places(hits: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """hits (id, ...) with a row for each place of their texts: source, location, occurrence_id and metadata."""
     where = F.get_json_object("metadata", "$.location")
-    places = occurrences.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("source", where.alias("location"), "id", "metadata"))).alias("occurrences"))
-    return chunks.select(F.col("id").alias("chunk_id"), "text").join(places, "chunk_id")
+    rows = occurrences.select(F.col("chunk_id").alias("id"), "source", where.alias("location"), F.col("id").alias("occurrence_id"), "metadata")
+    return hits.join(rows, "id")
 
 
 def get_by_ids(rows: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
@@ -103,8 +115,13 @@ class Store:
 
     @staticmethod
     def prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(chunks, occurrences) of rows (id, text, source, metadata, embedding); the last of equal ids counts."""
-        one = rows.dropDuplicates(["id"]).withColumn("chunk_id", text_id(F.col("text")))
+        """(chunks, occurrences) of rows (id, text, source, metadata, embedding).
+
+        Of equal ids the row with the greatest ``seq`` counts, if there is such a column, else the greatest text and metadata.
+        """
+        order = ["seq"] if "seq" in rows.columns else []
+        last = F.max(F.struct(*order, "text", "metadata", "source", "embedding")).alias("r")
+        one = rows.groupBy("id").agg(last).select("id", "r.text", "r.source", "r.metadata", "r.embedding").withColumn("chunk_id", text_id(F.col("text")))
         chunks = one.groupBy("chunk_id").agg(F.first("text").alias("text"), F.max_by("embedding", F.col("id")).alias("embedding"))
         return chunks.select(F.col("chunk_id").alias("id"), "text", normalised(F.col("embedding")).alias("embedding")), one.select("id", "chunk_id", "source", "metadata")
 
@@ -128,6 +145,17 @@ class Store:
             return self.revision
         return self.commit(self.chunks(), now.join(gone, "source", "left_anti"))
 
+    def delete(self, where: dict[str, Any]) -> int:
+        """Drop the occurrences whose source or metadata meet the conditions; without a match nothing changes. Conditions may not be empty."""
+        if not where:
+            raise StoreError("a delete needs conditions")
+        now = self.occurrences().withColumn("_metadata", F.try_parse_json("metadata"))
+        of_metadata, of_source = variant_value("_metadata"), column_value({"source": "string"})
+        gone = F.coalesce(compile_where(where, lambda key, value: of_source(key, value) if key == "source" else of_metadata(key, value)), F.lit(False))
+        if now.where(gone).isEmpty():
+            return self.revision
+        return self.commit(self.chunks(), now.where(~gone).drop("_metadata"))
+
     def delete_orphans(self, known: DataFrame, protected: str = "uploads/") -> int:
         """Drop sources that are neither known nor under the protected prefix."""
         indexed = self.occurrences().select("source").distinct()

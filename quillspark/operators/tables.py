@@ -100,3 +100,9 @@ def hash_buckets(column: str, bits: int) -> Column:
 def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
     """Bits for at most about ``per_bucket`` rows in each bucket, and enough buckets for many tasks."""
     return max(8, min(40, (max(rows, 1) // per_bucket).bit_length() + 1))
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with ``number``, the place of each row from 1 in a total order of all rows, found over ranges of the order."""
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return with_prefix(ranges, [], F.col("_range"), order).withColumn("number", F.col("_rank") + 1).drop("_range", "_rank", "_before", "_key_rows", "_key_total")

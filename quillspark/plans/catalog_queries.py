@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, evaluation
 from ..operators.catalog import Ranking
 from ..operators.predicate import column_value, compile_where, variant_value
+from ..operators.tables import numbered
 from .registry import query, table
 
 CONDITIONS = {"p_size": {"$lte": 25}, "p_retailprice": {"$gte": 930.0}, "p_brand": {"$eq": "Brand#13"}}
@@ -37,10 +38,8 @@ def catalog_exceeding(spark, sf_dir):
 
 @query(f"WITH p AS ({_P}) SELECT source, row_number() OVER (ORDER BY p_retailprice DESC, source) AS place FROM p WHERE {' AND '.join(_C)}")
 def catalog_ranked(spark, sf_dir):
-    from pyspark.sql import Window
-
     found = catalog.select(_products(spark, sf_dir), CONDITIONS)
-    return found.select("source", F.row_number().over(Window.orderBy(*catalog.rank_order(found, BY_PRICE))).alias("place"))
+    return numbered(found, catalog.rank_order(found, BY_PRICE)).select("source", F.col("number").alias("place"))
 
 
 @query(f"""WITH p AS ({_P}) SELECT source, source || ' | p_size=' || p_size::VARCHAR || ' | p_brand=' || p_brand AS line FROM p WHERE p_size <= 3 AND p_brand = 'Brand#13'""")

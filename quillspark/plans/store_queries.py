@@ -26,7 +26,7 @@ def _tables(spark, sf_dir):
 FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)""")
 def chunk_occurrences(spark, sf_dir):
     found = store.with_occurrences(*_tables(spark, sf_dir))
-    return found.select("chunk_id", (F.size("occurrences") - 1).cast("long").alias("others"), F.col("occurrences")[0]["source"].alias("first_source"), F.col("occurrences")[0]["id"].alias("first_id"))
+    return found.select("chunk_id", (F.col("n") - 1).alias("others"), F.col("first.source").alias("first_source"), F.col("first.id").alias("first_id"))
 
 
 @query("SELECT o_orderkey AS id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45)")

@@ -28,6 +28,13 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk(units).select("id", "source", "chunk_index", "text")
 
 
+@query()
+def chunk_code_documents(spark, sf_dir):
+    """Every document split into chunks, code blocks kept whole."""
+    units = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source"), F.lit("document").alias("location_type"), F.lit(0).alias("location"), F.lit(0).alias("unit_seq"), "text")
+    return chunking.chunk(units, keep_code=True).select("id", "source", "chunk_index", "text")
+
+
 @query("""WITH s AS (SELECT doc_id, text, length(trim(text, chr(32) || chr(10) || chr(9) || chr(13))) AS l FROM documents WHERE length(text) <= 800)
 SELECT doc_id, length(text)::BIGINT AS n FROM s WHERE l >= 10""")
 def chunk_short_documents(spark, sf_dir):

@@ -9,11 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, navigation
+from ..operators.catalog import RESERVED
+from ..functions.text import file_digest
 from ..operators.store import Store
+from ..operators.tables import materialize
 from ..operators.vector import hashed_embedding
 from ..sources import files
 
 
+#: Metadata that every row has.
+OWN = ("source", "file_hash", "location_type", "location", "ocr", "vlm", "heading", "chunk_index")
+
+
 def default_embedding(text: Column) -> Column:
     """Deterministic stand-in for an embedding model; a constant part keeps any vector from being zero."""
     return F.concat(hashed_embedding(text, 63), F.array(F.lit(0.01)))
@@ -23,10 +30,10 @@ def chunk_rows(units: DataFrame, embed: Callable[[Column], Column] = default_emb
     """Store rows of units: navigation dropped, split, numbered and embedded."""
     kept = navigation.marked(units.where(F.col("error").isNull())).where(~F.col("dropped")).drop("is_nav", "dropped")
     chunks = chunking.chunk(kept, keep_code)
-    attributes = F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    own = F.create_map(*[x for c in ("source", "file_hash", "location_type", "location", "ocr", "vlm", "heading", "chunk_index") for x in (F.lit(c), F.col(c).cast("string"))])
-    # The engine's own keys win over attributes of the same name.
-    free = F.map_filter(attributes, lambda k, _: ~k.isin("source", "file_hash", "location_type", "location", "ocr", "vlm", "heading", "chunk_index", "indexed_at"))
+    attributes = F.coalesce(F.from_json("attributes", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    own = F.create_map(*[x for c in OWN for x in (F.lit(c), F.col(c).cast("variant"))])
+    # The engine's own keys win over attributes of the same name; all values keep their types.
+    free = F.map_filter(attributes, lambda k, _: ~k.isin(*RESERVED))
     return chunks.select("id", "text", "source", F.to_json(F.map_concat(free, own)).alias("metadata"), embed(F.col("text")).alias("embedding"))
 
 
@@ -37,6 +44,14 @@ def ingest_folder(spark: SparkSession, root: str, store: Store, only_suffix: str
     one suffix was scanned.
     """
     found = files.scan(spark, root, only_suffix)
+    report = _replace(spark, store, found, force, keep_code)
+    if only_suffix is None:
+        store.delete_orphans(found.select("source"))
+    return report
+
+
+def _replace(spark: SparkSession, store: Store, found: DataFrame, force: bool = False, keep_code: bool = False) -> DataFrame:
+    """Take the changed files among found into the store in one commit; files that can't be read leave what is stored."""
     stored = store.occurrences().select("source", F.get_json_object("metadata", "$.file_hash").alias("file_hash")).distinct()
     fresh = files.changed(found, stored, force)
     units = files.parse(fresh).persist()
@@ -51,25 +66,32 @@ def ingest_folder(spark: SparkSession, root: str, store: Store, only_suffix: str
         keep = store.occurrences().join(done, "source", "left_anti")
         chunks, occurrences = Store.prepared(rows)
         store.commit(store.chunks().join(chunks, "id", "left_anti").unionByName(chunks), keep.unionByName(occurrences))
-    if only_suffix is None:
-        store.delete_orphans(found.select("source"))
     units.unpersist()
     return spark.read.parquet(kept_report)
 
 
+LISTING = "path string, modificationTime timestamp, length long"
+
+
 def watch_folder(spark: SparkSession, root: str, store: Store, checkpoint: str) -> None:
-    """Ingest files that arrived since the last call; each micro-batch replaces its sources in one commit."""
-    arriving = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
+    """Ingest the files that arrived or changed since the last call, in one commit.
 
-    def replace_sources(batch: DataFrame, _: int) -> None:
+    A streaming file source remembers paths and so never sees a known file again; here a listing (path, time, length) is kept in the
+    checkpoint folder, and only files that differ from it are opened. Their digests are then compared with the store's.
+    """
+    previous = f"{checkpoint.rstrip('/')}/listings"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(previous)
+    known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    before = spark.read.schema(LISTING).parquet(previous) if known else spark.createDataFrame([], LISTING)
+    fresh = materialize(listed.join(before, ["path", "modificationTime", "length"], "left_anti"), "arrived")
+    paths = [r.path for r in fresh.select("path").collect()]  # names of new files, which Spark lists on the driver anyway
+    if paths:
+        content = spark.read.format("binaryFile").load(paths)
         suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-        found = batch.where(suffix.isin(sorted(files.PARSERS))).select(files.source_key(root).alias("source"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"), suffix.alias("suffix"), "content")
-        units = files.parse(found)
-        chunks, occurrences = Store.prepared(chunk_rows(units))
-        rest = store.occurrences().join(found.select("source"), "source", "left_anti")
-        store.commit(store.chunks().join(chunks, "id", "left_anti").unionByName(chunks), rest.unionByName(occurrences))
-
-    arriving.writeStream.foreachBatch(replace_sources).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        found = content.where(suffix.isin(sorted(files.PARSERS))).select(files.source_key(root).alias("source"), file_digest(F.col("content")).alias("file_hash"), suffix.alias("suffix"), "content")
+        _replace(spark, store, found)
+        fresh.write.mode("append").parquet(previous)
 
 
 def verify(store: Store) -> DataFrame:
