@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kanji digits and what they fold to (fixed values).
@@ -44,6 +44,54 @@ def bigrams(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(f"(?=({w}{{1,2}}))(?:{w}(?={w})|(?<!{w}){w}(?!{w}))"), F.lit(1))
 
 
+#: Marks of an image block, the caption of an image that shows nothing, and characters that recognised text has at least (fixed values).
+CAPTION_MARK, OCR_MARK, NO_CONTENT, LEAST_OCR = "［画像の説明］", "［画像の文字］", "装飾画像", 10
+
+
+def has_caption(text: Column) -> Column:
+    return text.contains(CAPTION_MARK)
+
+
+def has_ocr(text: Column) -> Column:
+    return text.contains(OCR_MARK)
+
+
+def is_image_block(text: Column) -> Column:
+    """Whether a text is what an image was turned into."""
+    return text.startswith(CAPTION_MARK) | text.startswith(OCR_MARK)
+
+
+def local_reference(page: Column, target: Column) -> Column:
+    """Path of a file that a page (a path below a root) refers to; null for other hosts, inline data and paths that leave the root.
+
+    Steps up are taken one by one, as a folder can't be left and entered again.
+    """
+    inside = F.regexp_replace(F.regexp_replace(target, r"[?#].*$", ""), "^\\./", "")
+    steps = F.filter(F.concat(F.slice(F.split(page, "/"), F.lit(1), F.size(F.split(page, "/")) - 1), F.split(inside, "/")), lambda x: (x != "") & (x != "."))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(False).alias("out"))
+    walk = F.aggregate(
+        steps,
+        start,
+        lambda a, x: F.when(x != "..", F.struct(F.concat(a["at"], F.array(x)).alias("at"), a["out"].alias("out"))).otherwise(
+            F.struct(F.slice(a["at"], F.lit(1), F.greatest(F.size(a["at"]) - 1, F.lit(0))).alias("at"), (a["out"] | (F.size(a["at"]) == 0)).alias("out"))
+        ),
+    )
+    refused = target.rlike(r"(?i)^([a-z][a-z0-9+.-]*:|//|/|[\\\\])") | (inside == "")
+    return F.when(~refused & ~walk["out"] & (F.size(walk["at"]) > 0), F.array_join(walk["at"], "/"))
+
+
+def seconds_of(reply: Column, key: str) -> Column:
+    """A duration in seconds from a model server's JSON reply, which counts nanoseconds; null where it has none."""
+    return F.try_variant_get(F.try_parse_json(reply), f"$.{key}", "double") / 1e9
+
+
+def filled_values(reply: Column, names: list[str]) -> Column:
+    """map<string,string> of the wanted names that a JSON reply gives a text for; broken replies and blank values give none."""
+    parsed = F.try_parse_json(F.regexp_replace(reply, r"(?s)\A\s*```[^\n]*\n|\n?```\s*\z", ""))
+    entries = [F.struct(F.lit(n).alias("key"), F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$['{n}']", "variant")) == "STRING", F.trim(F.try_variant_get(parsed, f"$['{n}']", "string"))).alias("value")) for n in names]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.coalesce(e["value"] != "", F.lit(False))))
+
+
 @functools.cache
 def _folding() -> np.ndarray:
     """Code point -> its folded letter, digit or underscore; 0 for what ends a run."""
@@ -209,6 +257,18 @@ def sheet_name(title: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(title, r"[\[\]:*?/\\]", " ")), 1, 31)
 
 
+def unique_sheet_names(titles: DataFrame) -> DataFrame:
+    """titles (source, number, title) with sheet, unlike the others of its source in any letter case, and serial.
+
+    The second and later sheets of one name get their serial in brackets, within the 31 characters that are allowed.
+    """
+    base = F.when(sheet_name(F.col("title")) == "", F.lit("Sheet")).otherwise(sheet_name(F.col("title")))
+    same = Window.partitionBy("source", F.lower("_base")).orderBy("number")
+    rows = titles.withColumn("_base", base).withColumn("serial", F.row_number().over(same))
+    tail = F.concat(F.lit("("), F.col("serial").cast("string"), F.lit(")"))
+    return rows.withColumn("sheet", F.when(F.col("serial") == 1, F.col("_base")).otherwise(F.concat(F.substring("_base", F.lit(1), 31 - F.length(tail)), tail))).drop("_base")
+
+
 def common_folder(low: Column, high: Column) -> Column:
     """The folders that two paths share, with a slash at the end; of the least and greatest path, those of all paths."""
     a, b = F.split(low, "/"), F.split(high, "/")

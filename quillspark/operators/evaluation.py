@@ -60,3 +60,8 @@ def rank_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def report(statuses: DataFrame, by: str, status: str, item: str) -> DataFrame:
     """Per group and status the number of items and the first one; ``statuses`` itself is the list of them."""
     return statuses.groupBy(by, status).agg(F.count("*").alias("n"), F.min(F.col(item).cast("string")).alias("first"))
+
+
+def translation_worked(asked: DataFrame) -> DataFrame:
+    """One row: whether any question was searched in other words than its own (question, query)."""
+    return asked.agg(F.coalesce(F.bool_or(F.col("query") != F.col("question")), F.lit(False)).alias("worked"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.render import citation, place
+from ..functions.text import expand_synonyms
 from .tables import materialize
 
 RRF_K, CANDIDATES, HEAD, RESULTS = 60, 30, 16, 4
@@ -104,9 +106,10 @@ def search(
     reranker: Callable[[Column, Column], Column] | None = None,
     floor: float | None = None,
 ) -> DataFrame:
-    """Whole search for queries (query_id, text, embedding) over chunks (id, text, embedding)."""
+    """Whole search for queries (query_id, text, embedding) over chunks (id, text, embedding). Known variants are spelled out for BM25."""
     from . import lexical, vector
 
+    queries = queries.withColumn("text", expand_synonyms(F.col("text")))
     nearest = vector.nearest(queries, chunks, CANDIDATES)
     ranked = lexical.top(lexical.scores(queries, materialize(lexical.index(chunks), "lexical-index")), CANDIDATES)
     hits = fuse(nearest, ranked, threshold).join(chunks.select("id", "text"), "id")
@@ -114,3 +117,25 @@ def search(
         asked = queries.select("query_id", F.col("text").alias("_q"))
         hits = rerank(hits.join(asked, "query_id"), reranker(F.col("_q"), F.col("text")), floor=floor).drop("_q")
     return without_near_duplicates(hits.where(F.trim("text") != ""), n)
+
+
+def cited(hits: DataFrame, chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """hits (query_id, position, id, ...) with text and citation: the first place of each text, and how many others hold it."""
+    from .store import with_occurrences
+
+    of = lambda key: F.get_json_object("first.metadata", f"$.{key}")
+    first = place(F.col("first.source"), of("location_type"), of("location"), of("heading"), of("ocr") == "true")
+    known = with_occurrences(chunks, occurrences).select(F.col("chunk_id").alias("id"), citation(first, F.col("n")).alias("citation"))
+    return hits.join(known, "id", "left")
+
+
+def evidence(**corpora: DataFrame) -> DataFrame:
+    """Hits of several corpora, attachments or pasted texts as one table: kind says which, and number runs within a query."""
+    out = None
+    for order, (kind, hits) in enumerate(corpora.items()):
+        part = hits.select("query_id", F.lit(kind).alias("kind"), F.lit(order).alias("_order"), "position", "text", "citation")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no corpus given")
+    order = Window.partitionBy("query_id").orderBy("_order", "position")
+    return out.withColumn("number", F.row_number().over(order)).drop("_order")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import render, text
-from ..operators import chunking, navigation
+from ..operators import chunking, evaluation, navigation
 from ..sources import html
 from .registry import query, table
 
@@ -126,3 +126,36 @@ def reply_parsing(spark, sf_dir):
     kind = F.col("turn") % 3
     reply = F.when(kind == 0, F.lit('{"query": " \\"short\\" "}')).when(kind == 1, F.lit("{broken")).otherwise(F.lit('{"other": 1}'))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", render.reply_query(reply, F.coalesce("text", F.lit(""))).alias("query"))
+
+
+@query("""SELECT coalesce(bool_or(query <> text), false) AS worked FROM (SELECT text, CASE WHEN p IS NULL THEN text ELSE p || ' ' || text END AS query FROM
+(SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM conversations))""")
+def translation_worked(spark, sf_dir):
+    """Whether any turn is searched in other words than its own."""
+    asked = contextual_query(spark, sf_dir).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    return evaluation.translation_worked(own.join(asked, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t"))))
+
+
+@query("""SELECT event_id, event_ns / 1e9 AS seconds FROM (SELECT event_id, (value * 1e6)::BIGINT AS event_ns FROM events)""")
+def reply_seconds(spark, sf_dir):
+    """Durations of JSON replies made from the events' values."""
+    reply = F.to_json(F.struct(F.round(F.col("value") * 1e6).cast("long").alias("total_duration")))
+    return table(spark, sf_dir, "events").select("event_id", text.seconds_of(reply, "total_duration").alias("seconds"))
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'a/img/' || page_id::VARCHAR || '.png' WHEN page_id % 4 = 1 THEN page_id::VARCHAR || '.png' END AS path FROM pages""")
+def image_references(spark, sf_dir):
+    """References of pages in a folder: below it, beside it, outside the root, and each page's own remote address."""
+    p = F.col("page_id")
+    name = F.concat(p.cast("string"), F.lit(".png"))
+    target = F.when(p % 4 == 0, F.concat(F.lit("./img/"), name)).when(p % 4 == 1, F.concat(F.lit("../"), name)).when(p % 4 == 2, F.concat(F.lit("../../a/"), name)).otherwise(F.concat(F.lit("https://x.example/"), name))
+    return table(spark, sf_dir, "pages").select("page_id", text.local_reference(F.lit("a/page.md"), target).alias("path"))
+
+
+@query("""SELECT conv_id AS source, turn AS number, base || CASE WHEN n = 1 THEN '' ELSE '(' || n::VARCHAR || ')' END AS sheet
+FROM (SELECT conv_id, turn, 'Turn ' || role AS base, row_number() OVER (PARTITION BY conv_id, lower(role) ORDER BY turn) AS n FROM conversations)""")
+def sheet_names(spark, sf_dir):
+    """Turns as worksheets of their conversation's workbook, named by role."""
+    titles = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("number"), F.concat(F.lit("Turn "), "role").alias("title"))
+    return text.unique_sheet_names(titles).select("source", "number", "sheet")

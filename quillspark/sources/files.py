@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import file_digest
+from ..functions.text import CAPTION_MARK, LEAST_OCR, NO_CONTENT, OCR_MARK, file_digest
 from . import drawio, html, markdown, office
 
 #: Source-code and configuration suffixes that are read as plain text (fixed values).
@@ -90,8 +90,8 @@ def changed(files: DataFrame, stored: DataFrame, force: bool = False) -> DataFra
     return files if force else files.join(stored, ["source", "file_hash"], "left_anti")
 
 
-def image_block(caption: Column, ocr: Column, least_ocr: int = 10) -> Column:
+def image_block(caption: Column, ocr: Column, least_ocr: int = LEAST_OCR) -> Column:
     """Caption and recognised text of an image as one block; decorations and scraps are dropped."""
-    said = F.when(F.regexp_replace(F.trim(caption), "[。.]+$", "") != "装飾画像", F.trim(caption))
+    said = F.when(F.regexp_replace(F.trim(caption), "[。.]+$", "") != NO_CONTENT, F.trim(caption))
     read = F.when(F.length(F.trim(ocr)) >= least_ocr, F.trim(ocr))
-    return F.when(said.isNotNull() | read.isNotNull(), F.concat_ws("\n", F.when(said.isNotNull(), F.concat(F.lit("［画像の説明］"), said)), F.when(read.isNotNull(), F.concat(F.lit("［画像の文字］"), read))))
+    return F.when(said.isNotNull() | read.isNotNull(), F.concat_ws("\n", F.when(said.isNotNull(), F.concat(F.lit(CAPTION_MARK), said)), F.when(read.isNotNull(), F.concat(F.lit(OCR_MARK), read))))
