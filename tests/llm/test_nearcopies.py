@@ -99,3 +99,47 @@ def test_a_pair_at_the_similarity_is_within_the_bits():
         if len(a & b) >= 0.8 * len(a | b):
             gaps.append((simhash.fingerprint(" ".join(words), 5) ^ simhash.fingerprint(" ".join(edited), 5)).bit_count())
     assert len(gaps) > 100 and max(gaps) <= nearcopies.MOST_BITS
+
+
+def brute_roots(texts):
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return sorted(set(root))
+
+
+@pytest.mark.parametrize("group, later", [(2_048, (8, None)), (2_048, (1, None)), (3, (1, 2, None)), (3, (None,))])
+def test_later_rounds_leave_no_pair_out(spark, monkeypatch, group, later):
+    """With no first round at all, the later ones find every link, in whole groups as in those cut into slices."""
+    monkeypatch.setattr(nearcopies, "GROUP", group)
+    monkeypatch.setattr(nearcopies, "LATER", later)
+    monkeypatch.setattr(nearcopies, "candidates", lambda shared: shared.select(shared.c.alias("u"), shared.c.alias("v")).limit(0))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts, chain = near_texts()[:60], list(base)
+    for _ in range(20):  # a chain whose ends share few shingles, and shorter texts that share a passage only
+        chain[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(chain), " ".join([*base[:60], *[f"y{rng.randrange(10**6)}" for _ in range(30)]])]
+    kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == brute_roots(texts)
+
+
+def test_a_bridge_between_crowds(spark, monkeypatch):
+    """Two crowds of close copies with one text in between, which the nearest copies and the tree of a crowd need not reach."""
+    monkeypatch.setattr(nearcopies, "GROUP", 16)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(240)]
+    moved = [f"v{i}" if 100 <= i < 148 else x for i, x in enumerate(base)]
+    between = [f"v{i}" if 100 <= i < 124 else x for i, x in enumerate(base)]
+    texts = [" ".join(between)]
+    for start in (base, moved):
+        for _ in range(40):
+            edited = list(start)
+            edited[rng.randrange(150, 240)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == brute_roots(texts)
