@@ -29,9 +29,9 @@ def plain_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_all_pairs_of_the_similarity_are_linked(spark, monkeypatch, small):
-    monkeypatch.setattr(nearcopies, "SMALL", small)
+@pytest.mark.parametrize("group", [2_048, 2])
+def test_all_pairs_of_the_similarity_are_linked(spark, monkeypatch, group):
+    monkeypatch.setattr(nearcopies, "GROUP", group)
     texts = near_texts()
     sets = [plain_shingles(t) for t in texts]
     root = list(range(len(texts)))
@@ -78,15 +78,6 @@ def test_large_groups_keep_their_links(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == list(range(31))
 
 
-def test_forest_connects_what_is_near():
-    rng = np.random.default_rng(5)
-    fp = np.concatenate([rng.integers(0, 1 << 63, 3, dtype="u8")[rng.integers(0, 3, 60)] ^ (np.uint64(1) << rng.integers(0, 63, 60).astype("u8")), rng.integers(0, 1 << 63, 5, dtype="u8")])
-    u, v = nearcopies.forest(fp)
-    gap = np.bitwise_count(fp[:, None] ^ fp[None, :])
-    want = components_of(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if gap[i, j] <= nearcopies.MOST_BITS])
-    assert components_of(len(fp), list(zip(u.tolist(), v.tolist(), strict=True))) == want and (gap[u, v] <= nearcopies.MOST_BITS).all()
-
-
 def test_a_pair_at_the_similarity_is_within_the_bits():
     """Random texts with Jaccard similarity near 0.8: hardly any pair differs in more bits than candidates may."""
     rng, gaps = random.Random(8), []
@@ -114,10 +105,10 @@ def brute_roots(texts):
 
 @pytest.mark.parametrize("group, later", [(2_048, (8, None)), (2_048, (1, None)), (3, (1, 2, None)), (3, (None,))])
 def test_later_rounds_leave_no_pair_out(spark, monkeypatch, group, later):
-    """With no first round at all, the later ones find every link, in whole groups as in those cut into slices."""
+    """With next to nothing of the first round, the later ones find every link, in whole groups as in those cut into slices."""
     monkeypatch.setattr(nearcopies, "GROUP", group)
     monkeypatch.setattr(nearcopies, "LATER", later)
-    monkeypatch.setattr(nearcopies, "candidates", lambda shared: shared.select(shared.c.alias("u"), shared.c.alias("v")).limit(0))
+    monkeypatch.setattr(nearcopies, "candidates", lambda shared, first=nearcopies.candidates: first(shared.where("n = 2")))
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     texts, chain = near_texts()[:60], list(base)
