@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import bucket_bits, discard, hash_buckets, materialize, scratch, shared_dir, with_prefix
 
-__all__ = ["bucket_bits", "connected_components", "discard", "free_name", "hash_buckets", "materialize", "read_table", "scratch", "shared_dir", "with_prefix"]
+__all__ = ["bucket_bits", "connected_components", "discard", "free_name", "hash_buckets", "materialize", "read_table", "scratch", "shared_dir", "small_batches", "with_prefix"]
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -60,3 +60,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Hand Python workers at most so many bytes of rows at once in this session (Spark's own bound is 64 MB), so that neither their
+    memory nor the executors' buffers depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
