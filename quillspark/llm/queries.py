@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .lexscan import ORACLE as LEXSCAN_SQL
 from .linefreq import ORACLE as LINE_FREQUENCY_SQL
+from .repair import ORACLE as REPAIR_SQL
 from .revisits import ORACLE as REVISITS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +139,38 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import multiindex
 
     return multiindex.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98, recall=1.0)
+
+
+@query
+def op12_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every damaged conversation."""
+    from . import repair
+
+    return repair.report(repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op12_lightest_repair"] = REPAIR_SQL
+
+
+@query
+def op13_automaton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    from . import lexscan
+
+    return lexscan.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=50)
+
+
+ORACLES["op13_automaton_search"] = LEXSCAN_SQL
+
+
+#: A short list of the kind that a crawl starts from: (host with its subdomains, start of the path, verdict).
+URL_LIST = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page: by the list, else by the rules mined from the pages that the list covers."""
+    from . import urlrules
+
+    pages = read_table(spark, sf_dir, "pages")
+    return urlrules.judge(pages, URL_LIST, urlrules.fit(urlrules.listed(pages, URL_LIST)))
