@@ -15,7 +15,7 @@ from . import drawio, html, markdown, office
 
 #: Source-code and configuration suffixes that are read as plain text (fixed values).
 TEXT_SUFFIXES = (".txt", ".py", ".js", ".ts", ".java", ".cs", ".go", ".rs", ".c", ".cpp", ".h", ".sh", ".ps1", ".json", ".yaml", ".yml", ".toml")
-UNITS = "source string, file_hash string, unit_seq int, text string, location_type string, location int, ocr boolean, vlm boolean, heading string, attributes string, error string"
+UNITS = "source string, file_hash string, unit_seq int, text string, location_type string, location int, ocr boolean, vlm boolean, heading string, attributes string, error string, warnings array<string>"
 
 Parser = Callable[[bytes], list[dict[str, Any]]]
 
@@ -58,14 +58,23 @@ def source_key(root: str) -> Column:
 def scan(spark: SparkSession, root: str, only_suffix: str | None = None, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """(source, file_hash, suffix, content) of the supported files below root, office lock files left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = supported(files, root, parsers or PARSERS)
+    return found.where(F.col("suffix") == f".{only_suffix.lower().removeprefix('.')}") if only_suffix else found
+
+
+def supported(files: DataFrame, root: str, parsers: dict[str, Parser]) -> DataFrame:
+    """(source, file_hash, suffix, content) of those files (path, content) that a parser takes, office lock files left out."""
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    wanted = [only_suffix.lower() if only_suffix.startswith(".") else f".{only_suffix.lower()}"] if only_suffix else sorted(parsers or PARSERS)
-    return files.where(suffix.isin(wanted) & ~name.startswith("~$")).select(source_key(root).alias("source"), file_digest(F.col("content")).alias("file_hash"), suffix.alias("suffix"), "content")
+    kept = files.where(suffix.isin(sorted(parsers)) & ~name.startswith("~$"))
+    return kept.select(source_key(root).alias("source"), file_digest(F.col("content")).alias("file_hash"), suffix.alias("suffix"), "content")
 
 
 def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """Units of each file; one that can't be read gives a single row with its error and no text."""
+    """Units of each file; one that can't be read gives a single row with its error and no text, and so does one without content, without an error.
+
+    A unit's ``warnings`` say what was left out on the way (a page, an image), so they need no second pass over the files.
+    """
     table = parsers or PARSERS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,10 +85,14 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
                 try:
                     if suffix not in table:
                         raise ValueError(f"unsupported format {suffix}")
-                    for i, u in enumerate(table[suffix](bytes(content))):
-                        rows.append((source, digest, i, u["text"], u["location_type"], u["location"], u.get("ocr", False), u.get("vlm", False), u["heading"], json.dumps(u["attributes"], ensure_ascii=False), None))
+                    units = table[suffix](bytes(content))
+                    for i, u in enumerate(units):
+                        own = (u["text"], u["location_type"], u["location"], u.get("ocr", False), u.get("vlm", False), u["heading"], json.dumps(u["attributes"], ensure_ascii=False))
+                        rows.append((source, digest, i, *own, None, u.get("warnings", [])))
+                    if not units:
+                        rows.append((source, digest, *[None] * 9, []))
                 except Exception as error:  # a bad file must not stop the others
-                    rows.append((source, digest, None, None, None, None, None, None, None, None, f"{type(error).__name__}: {error}"))
+                    rows.append((source, digest, *[None] * 8, f"{type(error).__name__}: {error}", []))
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("source", "file_hash", "suffix", "content").mapInPandas(run, UNITS)

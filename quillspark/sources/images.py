@@ -33,7 +33,7 @@ def described(image: bytes, caption: Model | None, ocr: Model | None) -> tuple[s
 
 
 def _unit(text: str, kind: str, number: int, recognised: bool) -> dict[str, Any]:
-    return {"text": text, "location_type": kind, "location": number, "heading": "", "ocr": recognised, "vlm": CAPTION_MARK in text, "attributes": {}}
+    return {"text": text, "location_type": kind, "location": number, "heading": "", "ocr": recognised, "vlm": CAPTION_MARK in text, "attributes": {}, "warnings": []}
 
 
 def image_parser(caption: Model | None = None, ocr: Model | None = None) -> Callable[[bytes], list[dict[str, Any]]]:
@@ -43,7 +43,7 @@ def image_parser(caption: Model | None = None, ocr: Model | None = None) -> Call
         text, errors = described(content, caption, ocr)
         if not text and errors:
             raise ValueError("; ".join(errors))
-        return [_unit(text, "image", 1, OCR_MARK in text)] if text else []
+        return [_unit(text, "image", 1, OCR_MARK in text) | {"warnings": errors}] if text else []
 
     return parse
 
@@ -51,7 +51,7 @@ def image_parser(caption: Model | None = None, ocr: Model | None = None) -> Call
 def page_parser(pages: Callable[[bytes], Iterable[tuple[str, bytes | None]]], caption: Model | None = None, ocr: Model | None = None) -> Callable[[bytes], list[dict[str, Any]]]:
     """A parser for page files, given a reader of each page's (text, image): pages with little text are described from their image.
 
-    A page that can't be read is skipped; a file of which none can is an error.
+    A page that can't be read is skipped, with a warning at the file's first unit; a file of which none can is an error.
     """
 
     def parse(content: bytes) -> list[dict[str, Any]]:
@@ -60,13 +60,15 @@ def page_parser(pages: Callable[[bytes], Iterable[tuple[str, bytes | None]]], ca
             body, recognised = text.strip(), False
             if len(body) < LEAST_PAGE and image is not None:
                 seen, wrong = described(image, caption, ocr)
-                errors += wrong
+                errors += [f"page {n}: {x}" for x in wrong]
                 if seen:
                     body, recognised = seen, True
             if body:
                 out.append(_unit(body, "page", n, recognised))
         if n and not out and errors:
             raise ValueError("; ".join(errors))
+        if out:
+            out[0]["warnings"] = errors
         return out
 
     return parse

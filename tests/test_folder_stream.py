@@ -1,0 +1,117 @@
+"""A folder's changes into the store: names with brackets, removals, repeated batches, models handed in, each chunk embedded once."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from quillspark.operators.store import Store
+from quillspark.sources import images
+from quillspark.streaming import folder, ingest
+
+SAYS = "This sentence number {} is long enough to be kept in the store."
+
+
+def sources(store):
+    return sorted(r.source for r in store.occurrences().select("source").distinct().collect())
+
+
+def write(path, text, when=None):
+    path.write_text(text, encoding="utf-8")
+    if when:
+        os.utime(path, (when, when))
+
+
+def test_listings_and_their_difference(tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    write(tmp_path / "in/a[1].txt", "x")
+    write(tmp_path / "in/sub/b*.txt", "y")
+    before = folder.listing(str(tmp_path / "in"))
+    assert sorted(before) == ["a[1].txt", "sub/b*.txt"]
+    write(tmp_path / "in/a[1].txt", "xx")
+    (tmp_path / "in/sub/b*.txt").unlink()
+    write(tmp_path / "in/c.txt", "z")
+    found = [(p, c) for p, c, _, _ in folder.difference(before, folder.listing(str(tmp_path / "in")))]
+    assert found == [("a[1].txt", "changed"), ("c.txt", "added"), ("sub/b*.txt", "removed")]
+    reader = folder.FolderReader(str(tmp_path / "in"), str(tmp_path / "state"))
+    first = reader.latestOffset()
+    assert first == {"listing": 1} == reader.latestOffset()
+    part = reader.partitions(reader.initialOffset(), first)[0]
+    assert sorted((p, c, bytes(x)) for p, c, _, _, x in reader.read(part)) == [("a[1].txt", "added", b"xx"), ("c.txt", "added", b"z")]
+
+
+def test_stream_folder(spark, tmp_path):
+    root, store = tmp_path / "in", Store(spark, f"file://{tmp_path}/store")
+    (root / "sub").mkdir(parents=True)
+    write(root / "a[1].txt", SAYS.format(1))
+    write(root / "sub/b {x}.txt", SAYS.format(2))
+    write(root / "c.bin", "nothing that is read")
+
+    def run():
+        ingest.stream_folder(spark, str(root), store, f"{tmp_path}/cp").awaitTermination()
+
+    run()
+    assert sources(store) == ["a[1].txt", "sub/b {x}.txt"] and store.revision == 1
+    run()
+    assert store.revision == 1
+    (root / "sub/b {x}.txt").unlink()
+    write(root / "a[1].txt", SAYS.format(3), 2_000_000_000)
+    run()
+    assert sources(store) == ["a[1].txt"] and [r.text for r in store.texts().collect()] == [SAYS.format(3)]
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    take = ingest.changes_sink(spark, store, "s")
+    batch = spark.createDataFrame([("a.txt", "added", 1, 1, SAYS.format(1).encode())], folder.SCHEMA)
+    take(batch, 0)
+    assert store.revision == 1 and store.manifest()["notes"] == {"s": 0}
+    take(batch.withColumn("content", F.lit(SAYS.format(9).encode())), 0)
+    assert store.revision == 1
+    take(spark.createDataFrame([("a.txt", "removed", 1, 1, None)], folder.SCHEMA), 1)
+    assert (store.revision, store.occurrences().count(), store.texts().count()) == (2, 0, 0)
+
+
+def test_watch_folder_sees_names_and_removals(spark, tmp_path):
+    root, store, state = tmp_path / "in", Store(spark, f"file://{tmp_path}/store"), str(tmp_path / "state")
+    root.mkdir()
+    write(root / "a[1].txt", SAYS.format(1))
+    write(root / "b.txt", SAYS.format(2))
+    ingest.watch_folder(spark, str(root), store, state)
+    assert sources(store) == ["a[1].txt", "b.txt"]
+    (root / "b.txt").unlink()
+    ingest.watch_folder(spark, str(root), store, state)
+    assert sources(store) == ["a[1].txt"] and store.revision == 2
+    ingest.watch_folder(spark, str(root), store, state)
+    assert store.revision == 2
+
+
+def test_parsers_models_and_warnings(spark, tmp_path):
+    """An image and a scanned page come in through stand-in models, what fails is a warning, and each chunk is embedded once."""
+    root, store, seen = tmp_path / "in", Store(spark, f"file://{tmp_path}/store"), tmp_path / "seen"
+    root.mkdir()
+    seen.mkdir()
+    write(root / "a.txt", SAYS.format(1))
+    (root / "p.png").write_bytes(b"image bytes")
+    (root / "s.scan").write_bytes(b"page one is long enough to stand for itself\0!\0?")
+
+    def ocr(image):
+        if image == b"?":
+            raise ValueError("unreadable")
+        return "the words in this picture"
+
+    parsers = {".png": images.image_parser(caption=lambda b: "a chart of sales", ocr=ocr), ".scan": images.page_parser(lambda b: [(x.decode() if len(x) > 1 else "", x) for x in b.split(b"\0")], ocr=ocr)}
+
+    def embed(text):
+        @F.udf("array<double>")
+        def run(x):
+            with open(seen / str(abs(hash(x))), "a") as f:
+                f.write("x")
+            return [1.0, float(len(x))]
+
+        return run(text)
+
+    report = {r.source: r for r in ingest.ingest_folder(spark, str(root), store, parsers=parsers, embed=embed).collect()}
+    assert {k: r.status for k, r in report.items()} == {"a.txt": "ingested", "p.png": "ingested", "s.scan": "ingested"}
+    assert "page 3" in report["s.scan"].warnings and report["a.txt"].warnings == "" and report["s.scan"].units == 2
+    assert len(os.listdir(seen)) == store.texts().count() == 4 and all(open(seen / n).read() == "x" for n in os.listdir(seen))
+    assert store.occurrences().where("source = 's.scan' and get_json_object(metadata, '$.ocr') = 'true'").count() == 1
