@@ -78,13 +78,25 @@ def test_large_groups_keep_their_links(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == list(range(31))
 
 
-def test_forest_connects_what_is_near():
+def test_forest_connects_what_may_be_similar():
     rng = np.random.default_rng(5)
+    n, width = 65, nearcopies.BANDS * nearcopies.ROWS
     fp = np.concatenate([rng.integers(0, 1 << 63, 3, dtype="u8")[rng.integers(0, 3, 60)] ^ (np.uint64(1) << rng.integers(0, 63, 60).astype("u8")), rng.integers(0, 1 << 63, 5, dtype="u8")])
-    u, v = nearcopies.forest(fp)
-    gap = np.bitwise_count(fp[:, None] ^ fp[None, :])
-    want = components_of(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if gap[i, j] <= nearcopies.MOST_BITS])
-    assert components_of(len(fp), list(zip(u.tolist(), v.tolist(), strict=True))) == want and (gap[u, v] <= nearcopies.MOST_BITS).all()
+    marks = rng.integers(0, 256, (4, width), dtype="u1")[rng.integers(0, 4, n)]
+    for row in marks:
+        row[rng.choice(width, rng.integers(0, 40), replace=False)] = rng.integers(0, 256)
+    size = rng.integers(80, 120, n)
+    u, v = nearcopies.forest(fp, size, marks, 0.8)
+
+    def may(i, j):
+        alike = (marks[i] == marks[j]).sum() >= nearcopies.least_equal(0.8)
+        return alike and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and (int(fp[i]) ^ int(fp[j])).bit_count() <= nearcopies.MOST_BITS
+
+    want = components_of(n, [(i, j) for i in range(n) for j in range(i) if may(i, j)])
+    assert 1 < len(set(want)) < n and components_of(n, list(zip(u.tolist(), v.tolist(), strict=True))) == want and all(map(may, u, v))
+    i, j = np.triu_indices(n, 1)
+    sized = np.minimum(size[i], size[j]) >= 0.8 * np.maximum(size[i], size[j])
+    assert (nearcopies.may_be_similar(i, j, size, marks, 0.8) == (sized & ((marks[i] == marks[j]).sum(axis=1) >= nearcopies.least_equal(0.8)))).all()
 
 
 def test_a_pair_at_the_similarity_is_within_the_bits():
@@ -112,12 +124,12 @@ def brute_roots(texts):
     return sorted(set(root))
 
 
-@pytest.mark.parametrize("group, later", [(2_048, (8, None)), (2_048, (1, None)), (3, (1, 2, None)), (3, (None,))])
-def test_later_rounds_leave_no_pair_out(spark, monkeypatch, group, later):
-    """With no first round at all, the later ones find every link, in whole groups as in those cut into slices."""
+@pytest.mark.parametrize(("group", "most_broadcast"), [(512, 1_000), (3, 0)])
+def test_second_round_leaves_no_pair_out(spark, monkeypatch, group, most_broadcast):
+    """With no first round at all, the second one finds every link, in whole groups as in those cut into slices."""
     monkeypatch.setattr(nearcopies, "GROUP", group)
-    monkeypatch.setattr(nearcopies, "LATER", later)
-    monkeypatch.setattr(nearcopies, "candidates", lambda shared: shared.select(shared.c.alias("u"), shared.c.alias("v")).limit(0))
+    monkeypatch.setattr(nearcopies, "MOST_BROADCAST", most_broadcast)
+    monkeypatch.setattr(nearcopies, "candidates", lambda shared, short, similarity: shared.select(shared.c.alias("u"), shared.c.alias("v"), shared.k.alias("g")).limit(0))
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     texts, chain = near_texts()[:60], list(base)
@@ -143,3 +155,12 @@ def test_a_bridge_between_crowds(spark, monkeypatch):
             texts.append(" ".join(edited))
     kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == brute_roots(texts)
+
+
+def test_pairs_carry_no_texts(spark):
+    """A text goes to each group once, however many pairs it has there, and pairs that are connected already are passed over."""
+    same = " ".join(f"w{i}" for i in range(50))
+    texts = spark.createDataFrame([(c, same + f" end{c}") for c in range(20)], "c long, t string")
+    pairs = spark.createDataFrame([(u, v, u // 10) for u in range(20) for v in range(u + 1, 20) if u // 10 == v // 10], "u long, v long, g long")
+    found = nearcopies.verified(pairs, texts, 5, 0.8).collect()
+    assert len(found) == 18 and components_of(20, [(r.u, r.v) for r in found]) == [0] * 10 + [10] * 10
