@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import citation, place
 from ..functions.text import expand_synonyms
+from .store import Store
 from .tables import materialize
 
 RRF_K, CANDIDATES, HEAD, RESULTS = 60, 30, 16, 4
@@ -107,25 +108,72 @@ def search(
     floor: float | None = None,
 ) -> DataFrame:
     """Whole search for queries (query_id, text, embedding) over chunks (id, text, embedding). Known variants are spelled out for BM25."""
-    from . import lexical, vector
+    from . import postings
+
+    return found(queries, chunks.select("id", "embedding"), chunks.select("id", "text"), materialize(postings.blocks(chunks), "lexical-index"), None, threshold, n, reranker, floor)
+
+
+def found(
+    queries: DataFrame,
+    vectors: DataFrame,
+    texts: DataFrame,
+    index: DataFrame,
+    live: DataFrame | None,
+    threshold: float = THRESHOLD,
+    n: int = RESULTS,
+    reranker: Callable[[Column, Column], Column] | None = None,
+    floor: float | None = None,
+) -> DataFrame:
+    """The search over vectors (id, embedding), texts (id, text) and an index of theirs.
+
+    A reranker that gives null for a hit has failed: that query's hits keep their order, no floor applies to them, and ``measured`` is false.
+    """
+    from . import postings, vector
 
     queries = queries.withColumn("text", expand_synonyms(F.col("text")))
-    nearest = vector.nearest(queries, chunks, CANDIDATES)
-    ranked = lexical.top(lexical.scores(queries, materialize(lexical.index(chunks), "lexical-index")), CANDIDATES)
-    hits = fuse(nearest, ranked, threshold).join(chunks.select("id", "text"), "id")
-    if reranker is not None:
+    nearest = vector.nearest(queries, vectors, CANDIDATES)
+    hits = fuse(nearest, postings.top(queries, index, CANDIDATES, live), threshold).join(texts.select("id", "text"), "id")
+    if reranker is None:
+        hits = hits.withColumn("measured", F.lit(False))
+    else:
         asked = queries.select("query_id", F.col("text").alias("_q"))
-        hits = rerank(hits.join(asked, "query_id"), reranker(F.col("_q"), F.col("text")), floor=floor).drop("_q")
+        rows = hits.join(asked, "query_id").withColumn("_score", reranker(F.col("_q"), F.col("text")))
+        ok = F.bool_and((F.col("position") > HEAD) | F.col("_score").isNotNull()).over(Window.partitionBy("query_id"))
+        rows = materialize(rows.withColumn("measured", ok), "measured")  # so that a model is asked once
+        hits = rerank(rows, F.col("_score"), floor=floor, measured=F.col("measured")).drop("_q", "_score")
     return without_near_duplicates(hits.where(F.trim("text") != ""), n)
 
 
+def search_store(
+    queries: DataFrame,
+    store: Store,
+    threshold: float = THRESHOLD,
+    n: int = RESULTS,
+    reranker: Callable[[Column, Column], Column] | None = None,
+    floor: float | None = None,
+) -> DataFrame:
+    """The search over a store's current revision, with citations and the number of places of each text (n_places).
+
+    The index is the one kept with the store, so a search on a known revision reads no text but that of its hits, and one after a
+    commit indexes what the commit brought.
+    """
+    from . import postings
+
+    now = store.manifest()
+    index, live = postings.of_store(store, now)
+    hits = materialize(found(queries, store.vectors(now), store.texts(now), index, live, threshold, n, reranker, floor), "hits")
+    ids = hits.select("id").distinct()
+    places = store.occurrences(now).join(ids.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi")
+    return cited(hits, ids.withColumn("text", F.lit(None).cast("string")), places)
+
+
 def cited(hits: DataFrame, chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """hits (query_id, position, id, ...) with text and citation: the first place of each text, and how many others hold it."""
+    """hits (query_id, position, id, ...) with the citation of the first place of each text, and how many places hold it (n_places)."""
     from .store import with_occurrences
 
     of = lambda key: F.get_json_object("first.metadata", f"$.{key}")
     first = place(F.col("first.source"), of("location_type"), of("location"), of("heading"), of("ocr") == "true")
-    known = with_occurrences(chunks, occurrences).select(F.col("chunk_id").alias("id"), citation(first, F.col("n")).alias("citation"))
+    known = with_occurrences(chunks, occurrences).select(F.col("chunk_id").alias("id"), citation(first, F.col("n")).alias("citation"), F.col("n").alias("n_places"))
     return hits.join(known, "id", "left")
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import counted_bigrams
 
-#: Query vectors that are broadcast at once.
-MOST_QUERIES = 2_000
+#: Query vectors that ``distances`` broadcasts at once, and bytes of them that ``nearest`` does.
+MOST_QUERIES, MOST_BYTES = 2_000, 32_000_000
+#: Distances that a task holds at once, and pairs after which it keeps the best only.
+CELLS, HELD = 4_000_000, 400_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,53 +56,76 @@ def _units(rows: list[np.ndarray]) -> np.ndarray:
     return raw / size[:, None]
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 30, digits: int = 12) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest of the corpus for each query, ties in the rounded distance by id.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 30, digits: int = 12, per: str | None = None) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest of the corpus for each query, ties in the rounded distance by id; with ``per``, a
+    column of the corpus, the k nearest of each of its values, and the column.
 
-    Every vector is compared with every query, by matrix products in the tasks, and a task keeps the k best per query, so what is shuffled
-    is at most k rows per query and task. Queries go to the tasks in blocks of MOST_QUERIES. Null vectors are left out.
+    Every vector is compared with every query, by matrix products in the tasks, and a task keeps the k best, so what is shuffled is at
+    most k rows per query (and value) and task. Queries go to the tasks in blocks of at most MOST_BYTES. Null vectors are left out.
     """
     asked = queries.select("query_id", "embedding").where("embedding is not null")
-    kinds = [queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()]
-    blocks, out, context = max(1, -(-asked.count() // MOST_QUERIES)), None, corpus.sparkSession.sparkContext
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
+    named = [per] if per else []
+    schema = ", ".join([f"query_id {kinds['query_id']}, id {kinds['id']}, distance double", *[f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in named]])
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks, out, context = max(1, -(-n * width * 8 // MOST_BYTES)), None, corpus.sparkSession.sparkContext
     for i in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # about MOST_QUERIES rows
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # of about MOST_BYTES
         if len(some):
             shared = context.broadcast((some["query_id"].to_numpy(), _units(list(some["embedding"]))))
-            part = corpus.select("id", "embedding").where("embedding is not null").mapInPandas(_kept(shared, k, digits), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+            part = corpus.select("id", "embedding", *named).where("embedding is not null").mapInPandas(_kept(shared, k, digits, per), schema)
             out = part if out is None else out.unionByName(part)
     if out is None:
-        out = corpus.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, distance double")
-    return top(out, k)
+        out = corpus.sparkSession.createDataFrame([], schema)
+    return top(out, k, per)
 
 
-def _kept(shared, k: int, digits: int):
-    """The task's part of ``nearest``: a running list of the k best of each query."""
+def _kept(shared, k: int, digits: int, per: str | None):
+    """The task's part of ``nearest``: the k best of each query so far, and of each value of ``per``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, unit = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in names]
-        for batch in batches:
-            ids = batch["id"].to_numpy()
+        worst: dict = {}  # value of per -> each query's k-th distance so far
+        kept: list[pd.DataFrame] = []
+
+        def best() -> pd.DataFrame:
+            rows = pd.concat(kept, ignore_index=True).sort_values(["q", "distance", "id"])
+            rows = rows[rows.groupby(["q", "value"], dropna=False).cumcount() < k]
+            for value, part in rows.groupby("value", dropna=False):
+                counts, last = np.bincount(part["q"], minlength=len(names)), part.groupby("q")["distance"].max()
+                full = np.flatnonzero(counts >= k)
+                worst[_key(value)][full] = last.loc[full].to_numpy()
+            return rows
+
+        step, held = max(1, CELLS // len(names)), 0
+        for batch in (b.iloc[at : at + step] for b in batches for at in range(0, len(b), step)):
+            ids, values = batch["id"].to_numpy(), batch[per].to_numpy() if per else np.zeros(len(batch), "i8")
             gap = np.round(1 - unit @ _units(list(batch["embedding"])).T, digits) + 0.0
-            for q in range(len(names)):
-                d, i = np.concatenate((best[q][0], gap[q])), np.concatenate((best[q][1], ids))
-                if len(d) > k:  # all that tie with the k-th stay in the running
-                    within = d <= np.partition(d, k - 1)[k - 1]
-                    d, i = d[within], i[within]
-                    order = np.lexsort((i, d))[:k]
-                    d, i = d[order], i[order]
-                best[q] = d, i
-        for name, (d, i) in zip(names, best, strict=True):
-            if len(d):
-                yield pd.DataFrame({"query_id": name, "id": i, "distance": d})
+            for code, value in enumerate(uniques := pd.factorize(values, use_na_sentinel=False)[1]):
+                mine = np.flatnonzero(pd.factorize(values, use_na_sentinel=False)[0] == code) if len(uniques) > 1 else np.arange(len(batch))
+                limit = worst.setdefault(_key(value), np.full(len(names), np.inf))
+                q, j = np.nonzero(gap[:, mine] <= limit[:, None])
+                kept.append(pd.DataFrame({"q": q, "value": np.repeat(np.asarray([value]), len(q)), "id": ids[mine[j]], "distance": gap[q, mine[j]]}))
+                held += len(q)
+            if held > HELD:
+                kept = [best()]
+                held = len(kept[0])
+        if held:
+            rows = best()
+            out = pd.DataFrame({"query_id": names[rows["q"].to_numpy()], "id": rows["id"].to_numpy(), "distance": rows["distance"].to_numpy()})
+            yield out.assign(**{per: rows["value"].to_numpy()}) if per else out
 
     return run
 
 
-def top(distanced: DataFrame, k: int = 30) -> DataFrame:
-    """The k nearest per query, ranked from 1, ties by id."""
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
+def _key(value):
+    """A dictionary key of a value that may be missing."""
+    return None if pd.isna(value) else value
+
+
+def top(distanced: DataFrame, k: int = 30, per: str | None = None) -> DataFrame:
+    """The k nearest per query (and value of ``per``), ranked from 1, ties by id."""
+    order = Window.partitionBy("query_id", *([per] if per else [])).orderBy("distance", "id")
     return distanced.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams
-from ..operators import evaluation, lexical, retrieval, vector
+from ..operators import evaluation, lexical, postings, retrieval, vector
 from ..operators.tables import materialize
 from .registry import query, table
 
@@ -52,12 +52,12 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' index, written once."""
-    return materialize(lexical.index(table(spark, sf_dir, "documents"), "doc_id"), "lexical-index")
+    """The documents' index, kept as long as the files are the same."""
+    return postings.of_table(spark, table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top(lexical.scores(_passages(spark, sf_dir), _index(spark, sf_dir)), 30)
+    return postings.top(_passages(spark, sf_dir), _index(spark, sf_dir), 30)
 
 
 @query(f"SELECT doc_id AS id, len({_DOC}) AS len FROM documents")
@@ -74,8 +74,9 @@ def corpus_statistics(spark, sf_dir):
 @query(f"""WITH t AS (SELECT doc_id, unnest({_DOC}) AS token FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT token, count(DISTINCT doc_id) AS df, round(ln(1 + (max(n) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)), 6) AS idf FROM t, n GROUP BY token""")
 def document_frequency(spark, sf_dir):
-    indexed = _index(spark, sf_dir)
-    return lexical.document_frequency(lexical.postings(indexed), lexical.statistics(lexical.lengths(indexed))).select("token", "df", F.round("idf", 6).alias("idf"))
+    index = _index(spark, sf_dir)
+    counted = postings.frequencies(index).crossJoin(postings.statistics(index).select("n"))  # with one row
+    return counted.select("token", "df", F.round(lexical.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_DOC}) AS token FROM documents) GROUP BY ALL)
@@ -98,13 +99,9 @@ def cosine_topk(spark, sf_dir):
 @query(f"""WITH {_NEAR}, l AS (SELECT vec_id AS id, label FROM embeddings)
 SELECT label, query_id, id, round(d, 6) AS distance FROM dist JOIN l USING (id) QUALIFY row_number() OVER (PARTITION BY label, query_id ORDER BY d, id) <= 3""")
 def cosine_topk_per_label(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = _vectors(spark, sf_dir)
     asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
-    found = vector.distances(asked, rows).withColumn("distance", F.round("distance", 12) + F.lit(0.0)).join(rows.select("id", "label"), "id")
-    order = Window.partitionBy("label", "query_id").orderBy("distance", "id")
-    return found.withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("label", "query_id", "id", F.round("distance", 6).alias("distance"))
+    return vector.nearest(asked, rows, 3, per="label").select("label", "query_id", "id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_NEAR} SELECT query_id, count(*) AS candidates, bool_or(d <= 0.5) AS open FROM near GROUP BY query_id")
@@ -168,13 +165,33 @@ SELECT round(max(d) FILTER (kind = 'relevant'), 6) AS max_relevant, round(min(d)
 def eval_separation(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
-    best = vector.distances(asked, rows).where("query_id <> id").groupBy("query_id").agg(F.min("distance").alias("distance"))
+    best = vector.nearest(asked, rows, 2).where("query_id <> id").groupBy("query_id").agg(F.min("distance").alias("distance"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), "toxic")
     kind = F.when(F.coalesce("toxic", F.lit(0)) == 1, "out_of_domain").otherwise("relevant")
     measured = best.join(labels, "query_id", "left").select(kind.alias("kind"), "distance", F.lit(None).cast("double").alias("bm25"))
     return evaluation.separation(measured, 0.9).select(F.round("max_relevant", 6).alias("max_relevant"), F.round("min_out_of_domain", 6).alias("min_out_of_domain"), "separated")
 
 
+@query(f"""WITH {_BM25}, top1 AS (SELECT query_id, max(score) AS s FROM lex GROUP BY query_id),
+o AS (SELECT query_id, min(d) AS d FROM (SELECT b.item_id AS query_id, round(1 - list_dot_product(q.v, v.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(v.v, v.v)), 12) AS d
+  FROM benchmark b JOIN (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) q ON q.id = b.item_id
+  JOIN (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) v ON v.id <> q.id WHERE b.item_id % 50 = 0) GROUP BY query_id),
+k AS (SELECT CASE WHEN coalesce(quality, 1) = 0 THEN 'out_of_domain' ELSE 'relevant' END AS kind, d, s FROM o LEFT JOIN top1 USING (query_id) LEFT JOIN labels ON doc_id = query_id)
+SELECT round(max(d) FILTER (kind = 'relevant'), 6) AS max_relevant, round(min(d) FILTER (kind = 'out_of_domain'), 6) AS min_out_of_domain,
+  round(max(s) FILTER (kind = 'out_of_domain'), 6) AS max_out_bm25, round(min(s) FILTER (kind = 'relevant'), 6) AS min_relevant_bm25 FROM k""")
+def eval_both_arms(spark, sf_dir):
+    """How far apart relevant and other questions are in both arms, vectors and BM25, each measured over the whole tables."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.join(_passages(spark, sf_dir).select("query_id"), F.col("id") == F.col("query_id")).select("query_id", "embedding")
+    near = vector.nearest(asked, rows, 2).where("query_id <> id").groupBy("query_id").agg(F.min("distance").alias("distance"))
+    best = _lexical(spark, sf_dir).groupBy("query_id").agg(F.max("score").alias("bm25"))
+    kind = F.when(F.coalesce("quality", F.lit(1)) == 0, "out_of_domain").otherwise("relevant")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), "quality")
+    measured = near.join(best, "query_id", "left").join(labels, "query_id", "left").select(kind.alias("kind"), "distance", "bm25")
+    out = evaluation.separation(measured, 0.9)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("max_relevant", "min_out_of_domain", "max_out_bm25", "min_relevant_bm25")])
+
+
 @query(f"""WITH {_BM25}, h AS (SELECT item_id AS q, count(lex.id) AS n FROM benchmark LEFT JOIN lex ON query_id = item_id WHERE item_id % 50 = 0 GROUP BY item_id)
 SELECT count(*) FILTER (n = 0) AS lost, 0::BIGINT AS leaked, count(*) FILTER (n > 0 AND q % 100 = 50) AS missing, count(*) FILTER (n = 0) = 0 AND count(*) FILTER (n > 0 AND q % 100 = 50) = 0 AS passed FROM h""")
 def eval_verdict(spark, sf_dir):
