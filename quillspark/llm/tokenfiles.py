@@ -1,8 +1,9 @@
 """Token ids as ORC files: run-length encoded integers, row indexes and Bloom filters on document ids.
 
-One row per document, in ascending doc_id order, in files that each hold a range of ids and many stripes. A reader that
-wants some documents prunes stripes by their statistics and Bloom filters; one that wants all of them reads stripes in
-parallel, as Spark does with any ORC table. ``start``, the number of ids before a document, is stored beside its ids, so a
+One row per document, in ascending doc_id order, in files that each hold a range of ids and many stripes: the writer looks at
+its memory every ``CHECKED`` rows and ends a stripe at about ``STRIPE`` bytes. A reader that wants some documents prunes files and
+stripes by their statistics, and within a stripe groups of ``STRIDE`` rows by theirs and by Bloom filters; one that wants all of
+them reads stripes in parallel: Spark cuts files into splits, and a split reads the stripes that begin in it. ``start``, the number of ids before a document, is stored beside its ids, so a
 reader can go to a place in the token stream without reading what comes before it.
 
 Null texts are the empty text; each document ends with the end id, so an empty one holds that alone. Rows with equal
@@ -24,8 +25,18 @@ from pyspark.sql import functions as F
 
 from .chunks import PieceCache, pieces
 
-#: ORC writer settings: stripes that a task can hold, an index entry every 1,000 rows, Bloom filters on the ids.
-ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20), "compression": "snappy"}
+#: Bytes of a stripe in memory, rows after which the writer compares, and rows of an index entry (ORC's least is 1,000).
+STRIPE, CHECKED, STRIDE = 1 << 20, 250, 1_000
+#: ORC writer settings: many stripes, an index entry for each group of rows, Bloom filters on the ids.
+ORC = {
+    "orc.bloom.filter.columns": "doc_id",
+    "orc.bloom.filter.fpp": "0.01",
+    "orc.create.index": "true",
+    "orc.row.index.stride": str(STRIDE),
+    "orc.stripe.size": str(STRIPE),
+    "orc.rows.between.memory.checks": str(CHECKED),
+    "compression": "snappy",
+}
 
 #: Distinct chunks that a worker remembers, at some 200 bytes each.
 MOST_CHUNKS = 1_600_000

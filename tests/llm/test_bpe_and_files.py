@@ -116,3 +116,53 @@ def test_no_token_files(spark, empty, tmp_path):
     path = f"file://{tmp_path}/tokens"
     tokenfiles.write(empty, path, JSON, 2)
     assert tokenfiles.checksums(tokenfiles.read(spark, path)).count() == 0
+
+
+def test_stripes_index_and_bloom_filters(spark, tmp_path):
+    """A file has many stripes, read each for itself and by Spark's splits; a lookup skips stripes, and an absent id all rows by the Bloom filter."""
+    from py4j.java_gateway import get_field
+    from pyarrow import orc
+
+    base = 10_000_000_000  # ids that only a Java long holds
+    rng = np.random.default_rng(1)
+    rows = [(base + 2 * i, " ".join(map(str, rng.integers(0, 10**9, 120)))) for i in range(6_000)]
+    path = f"file://{tmp_path}/tokens"
+    tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string"), path, JSON, 2, docs_per_file=6_000)
+    files = [str(f) for f in (tmp_path / "tokens/ids").glob("*.orc")]
+    stored = max((orc.ORCFile(f) for f in files), key=lambda f: f.nrows)
+    assert stored.nstripes >= 4 and stored.nrows == 6_000
+    spans = [stored.read_stripe(i, columns=["doc_id"]).column("doc_id").to_pylist() for i in range(stored.nstripes)]
+    assert [x for s in spans for x in s] == [r[0] for r in rows]
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = max(files, key=lambda f: orc.ORCFile(f).nrows)
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{name}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    stripes = reader.getStripes()
+    assert stripes.size() == stored.nstripes and reader.getRowIndexStride() == tokenfiles.STRIDE
+    kinds = {str(s.getKind()) for s in reader.rows().readStripeFooter(stripes.get(1)).getStreamsList()}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+
+    def rows_read(doc_id):
+        sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
+        kind = getattr(sarg, "PredicateLeaf$Type").LONG
+        wanted = sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", kind, doc_id).end().build()
+        columns = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 2)
+        columns[0], columns[1] = None, "doc_id"
+        found = reader.rows(reader.options().searchArgument(wanted, columns))
+        batch, n = reader.getSchema().createRowBatch(), 0
+        while found.nextBatch(batch):
+            n += get_field(batch, "size")
+        return n
+
+    one = next(len(s) for s in spans if base + 6_000 in s)
+    assert rows_read(base + 6_000) == min(one, tokenfiles.STRIDE) < 6_000
+    assert sum(rows_read(base + 2 * i + 1) for i in range(3_000, 3_040)) < 40 * 0.1 * one
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        ids = spark.read.orc(f"{path}/ids")
+        parts = ids.groupBy(F.spark_partition_id()).count().count()
+        assert parts >= 3 and sorted(map(tuple, tokenfiles.checksums(tokenfiles.read(spark, path)).collect())) == _expected(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
