@@ -216,22 +216,24 @@ def is_superlative(question: Column) -> Column:
     return question.rlike("最大|最小|最も|一番|いちばん|最高|最低|最長")
 
 
-def slide_lines(text: Column) -> Column:
-    """Lines of a slide without blank ones, copyright lines and page numbers."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
-    return F.filter(lines, lambda x: (x != "") & ~x.startswith("©") & ~x.rlike(r"^\p{Nd}+$"))
+def slide_lines(text: Column, number: Column) -> Column:
+    """Lines of a slide without blank ones, copyright lines and the slide's own number."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))  # with F.trim itself, the index would be what is trimmed
+    return F.filter(lines, lambda x: (x != "") & ~x.startswith("©") & (x != number.cast("string")))
 
 
 def greedy_groups(blocks: Column, limit: int = 200) -> Column:
-    """Pack an array of blocks, in order, into texts of at most limit characters; a longer block stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Pack an array of blocks, in order, into texts of at most limit characters, the line ends between them not counted; a longer block stands alone."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
+    joined = lambda open_blocks: F.array_join(open_blocks, "\n")
 
     def step(acc: Column, block: Column) -> Column:
-        fits = (acc["open"] == "") | (F.length(acc["open"]) + 1 + F.length(block) <= limit)
-        grown = F.when(acc["open"] == "", block).otherwise(F.concat(acc["open"], F.lit("\n"), block))
-        return F.when(fits, F.struct(acc["done"].alias("done"), grown.alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), block.alias("open")))
+        fits = (F.size(acc["open"]) == 0) | (acc["size"] + F.length(block) <= limit)
+        grown = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(block)).alias("open"), (acc["size"] + F.length(block)).alias("size"))
+        closed = F.struct(F.concat(acc["done"], F.array(joined(acc["open"]))).alias("done"), F.array(block).alias("open"), F.length(block).alias("size"))
+        return F.when(fits, grown).otherwise(closed)
 
-    return F.aggregate(blocks, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    return F.aggregate(blocks, start, step, lambda a: F.when(F.size(a["open"]) == 0, a["done"]).otherwise(F.concat(a["done"], F.array(joined(a["open"])))))
 
 
 def row_text(cells: Column) -> Column:

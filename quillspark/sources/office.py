@@ -90,17 +90,17 @@ def xlsx_units(content: bytes) -> list[dict[str, Any]]:
     return out
 
 
-def _blocks(shapes: ElementTree.Element) -> list[tuple[tuple[int, int], str]]:
-    """(row, left) and text of each shape, those inside groups included."""
+def _blocks(shapes: ElementTree.Element, number: int) -> list[tuple[tuple[int, int], str]]:
+    """(row, left) and text of each shape, those inside groups included, without copyright lines and the slide's own number."""
     out = []
     for shape in shapes:
         kind = _local(shape)
         if kind == "grpSp":
-            out += _blocks(shape)
+            out += _blocks(shape, number)
         elif kind in ("sp", "graphicFrame"):
             rows = [" | ".join("".join(t.text or "" for t in _all(c, "t")).strip() for c in _all(r, "tc")) for r in _all(shape, "tr")]
             text = "\n".join(rows) if rows else "\n".join("".join(t.text or "" for t in _all(p, "t")) for p in _all(shape, "p"))
-            kept = [x.strip() for x in text.split("\n") if x.strip() and not x.strip().startswith("©") and not re.fullmatch(r"[‹<]?\d*[›>]?#?", x.strip())]
+            kept = [x.strip() for x in text.split("\n") if x.strip() not in ("", str(number)) and not x.strip().startswith("©")]
             off = next(iter(_all(shape, "off")), None)
             at = (round(int(off.get("y", 0)) / ROW), int(off.get("x", 0))) if off is not None else (1 << 30, 1 << 30)
             if kept:
@@ -109,14 +109,14 @@ def _blocks(shapes: ElementTree.Element) -> list[tuple[tuple[int, int], str]]:
 
 
 def grouped(blocks: list[str], limit: int = GROUP) -> list[str]:
-    """Blocks packed in order into texts of at most limit characters; a longer one stands alone."""
-    out: list[str] = []
+    """Blocks packed in order into texts of at most limit characters, the line ends between them not counted; a longer one stands alone."""
+    out: list[list[str]] = []
     for block in blocks:
-        if out and len(out[-1]) + 1 + len(block) <= limit:
-            out[-1] += "\n" + block
+        if out and sum(map(len, out[-1])) + len(block) <= limit:
+            out[-1].append(block)
         else:
-            out.append(block)
-    return out
+            out.append([block])
+    return ["\n".join(x) for x in out]
 
 
 def pptx_units(content: bytes) -> list[dict[str, Any]]:
@@ -126,10 +126,10 @@ def pptx_units(content: bytes) -> list[dict[str, Any]]:
         for number, entry in enumerate(_all(_xml(archive, "ppt/presentation.xml"), "sldId"), 1):
             part = links[_relation(entry)][1]
             tree = next(iter(_all(_xml(archive, part), "spTree")), None)
-            texts = [t for _, t in sorted(_blocks(tree), key=lambda b: b[0])] if tree is not None else []
+            texts = [t for _, t in sorted(_blocks(tree, number), key=lambda b: b[0])] if tree is not None else []
             note = next((p for kind, p in _links(archive, part).values() if kind == "notesSlide"), None)
             if note and (root := _xml(archive, note)) is not None:
-                texts += [t for _, t in _blocks(next(iter(_all(root, "spTree"))))]
+                texts += [t for _, t in _blocks(next(iter(_all(root, "spTree"))), number)]
             if not texts:
                 continue
             title, _, rest = texts[0].partition("\n")

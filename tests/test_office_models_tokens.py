@@ -44,7 +44,7 @@ def shape(text, y, x):
 
 def test_pptx():
     ns = f'xmlns:p="p" xmlns:a="a" {R}'
-    slide = f'<p:sld {ns}><p:spTree>{shape("right", 300000, 9)}{shape("© me", 0, 0)}{shape("3", 0, 1)}<p:grpSp>{shape("left", 310000, 1)}</p:grpSp>{shape("題名", 0, 5)}{shape("z" * 190, 900000, 0)}</p:spTree></p:sld>'
+    slide = f'<p:sld {ns}><p:spTree>{shape("right", 300000, 9)}{shape("© me", 0, 0)}{shape("1", 0, 1)}<p:grpSp>{shape("left", 310000, 1)}</p:grpSp>{shape("題名", 0, 5)}{shape("z" * 192, 900000, 0)}</p:spTree></p:sld>'
     parts = {
         "ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId r:id="a"/></p:sldIdLst></p:presentation>',
         "ppt/_rels/presentation.xml.rels": RELS.format('<Relationship Id="a" Type="t/slide" Target="slides/1.xml"/>'),
@@ -52,7 +52,7 @@ def test_pptx():
         "ppt/slides/_rels/1.xml.rels": RELS.format('<Relationship Id="n" Type="t/notesSlide" Target="../notes/1.xml"/>'),
         "ppt/notes/1.xml": f"<p:notes {ns}><p:spTree>{shape('note', 0, 0)}</p:spTree></p:notes>",
     }
-    assert [u["text"] for u in office.pptx_units(packed(parts))] == ["題名\nleft\nright", "題名\n" + "z" * 190 + "\nnote"]
+    assert [u["text"] for u in office.pptx_units(packed(parts))] == ["題名\nleft\nright", "題名\n" + "z" * 192 + "\nnote"]
 
 
 def test_model_column(spark):

@@ -62,7 +62,7 @@ def test_packing_and_rows(spark):
     blocks = F.array(*[F.lit(x * n) for x, n in (("a", 120), ("b", 70), ("c", 30), ("d", 300))])
     assert [len(x) for x in one(spark, text.greedy_groups(blocks))] == [191, 30, 300]
     assert one(spark, text.row_text(F.array(F.lit("a"), F.lit(""), F.lit("c"), F.lit(""), F.lit(None)))) == "a |  | c"
-    assert one(spark, text.slide_lines(F.lit("T\n\n© x\n12\nbody"))) == ["T", "body"]
+    assert one(spark, text.slide_lines(F.lit("T\n\n© x\n12\nbody"), F.lit(12))) == ["T", "body"]
 
 
 def test_sigmoid_never_overflows(spark):
