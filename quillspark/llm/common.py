@@ -10,6 +10,10 @@ from ..operators.tables import bucket_bits, discard, hash_buckets, materialize,
 __all__ = ["bucket_bits", "connected_components", "discard", "free_name", "hash_buckets", "materialize", "read_table", "scratch", "shared_dir", "small_batches", "with_prefix"]
 
 
+#: Edges that one file of a round's state holds.
+EDGES_PER_FILE = 50_000
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """A column name that none of the taken ones clashes with, whatever their letter case."""
     lower = {c.lower() for c in taken}
@@ -28,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     def star(pairs: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
         """The rewired pairs, and the written minima that they are read from."""
-        low = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "lows")
+        low = written(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "lows")
         out = pairs.join(low, pairs.u == low.k)
         if large:
             return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), low
@@ -37,16 +41,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def both(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
 
+    def written(df: DataFrame, label: str) -> DataFrame:
+        """df written in no more files than its rows need: at most as many as there were edges in any state (minima are fewer)."""
+        return materialize(df.coalesce(2 * most // EDGES_PER_FILE + 1), label)
+
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     pairs = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = mark(pairs)
+    most = seen[0]
     for _ in range(max_rounds):
         spread, first = star(both(pairs), large=True)
-        spread = materialize(spread.where("u <> v").distinct(), "edges")
+        spread = written(spread.where("u <> v").distinct(), "edges")
         following, second = star(spread, large=False)
-        following = materialize(following.where("u <> v").distinct(), "edges")
+        following = written(following.where("u <> v").distinct(), "edges")
         for old in (pairs, spread, first, second):
             discard(old)
         pairs, before, seen = following, seen, mark(following)
