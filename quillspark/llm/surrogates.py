@@ -1,11 +1,11 @@
 """Surrogates for personal data: keyed, consistent with type, gender, script and format, and distinct.
 
 Detected entities (mail addresses, phone numbers with a country code or in usual national layouts, IP addresses of both kinds,
-card and account numbers, secrets of any length, names after a title or a phrase such as "my name is" in any script with
-capitals) are brought to one spelling (secrets keep theirs, as their letter case counts); a keyed hash of type, spelling and
+card and account numbers, passport numbers after that word, secrets: known forms, keys of 40 mixed characters, and what is assigned to a
+password or key, of any length behind an equals sign or in quotes, behind a bare colon with a digit or at least six characters; names
+after a title or a phrase such as "my name is", full ones after a salutation, in any script with capitals) are brought to one spelling (secrets keep theirs, as their letter case counts); a keyed hash of type, spelling and
 gender gives the surrogate, written in the format of each place where the entity stands: separators, letter case, number of
-digits, script; a country's calling code, valid check digits of cards and accounts, particles of names and top-level structure
-of domains stay.
+digits, script; a country's calling code, valid check digits of cards and accounts and particles of names stay; domains end in .example.
 
 The same entity gets the same surrogate in every document (coreference). Within a document, a shorter name is taken for the
 longer one that it ends ("Mr Smith" after "Mr John Smith") if their genders agree, a title without a gender takes the gender that the
@@ -14,8 +14,10 @@ part of the surrogate. Across documents a name is told apart by its spelling and
 
 Two entities never share a surrogate, and none is an entity of the corpus itself (distinctness): all entities are gathered
 once each, surrogates that collide are found by grouping and joining them, and those entities move to a further draw until none
-collides. Mail domains are entities of their own, so addresses of two domains never meet. The moved ones are joined to the
-texts that hold them by the hash of the text, so doc_id isn't read and may be of any type, null or repeated. Texts
+collides. Invented names are long enough that few collide. Where a format is too narrow for its entities (short passwords, say),
+draws beyond the ``IN_FORMAT``-th are a sign longer each, so distinctness goes before length and the draws end. Mail domains are entities of their own, so addresses of two domains never meet. The moved ones are joined to the
+texts that hold them by the hash of the text, so doc_id isn't read and may be of any type, null or repeated. A mention without a title in
+a document that has no title for that name stays, and so does a name that a street bears. Texts
 are searched twice, for entities and for replacement: their places aren't kept, since that would mean either to shuffle every text or
 to write a second copy of the personal data.
 
@@ -39,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import free_name, materialize
 
 #: Entries about moved entities that may be broadcast to the texts that hold them; more are joined as Spark sees fit.
-MOST_BROADCAST = 50_000
+MOST_BROADCAST = 200_000
+#: Draws that keep an entity's length, and draws at most.
+IN_FORMAT, MOST_DRAWS = 6, 40
 #: Titles by gender (fixed values).
 MALE = ["Mr", "Mister", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Mlle", "Doña", "Госпожа", "Κυρία"]
@@ -50,6 +54,9 @@ SCRIPTS = {"latin": ("bdfglmnprstv", "aeiou"), "cyrillic": ("бвгдлмнпр
 PARTICLES = ["von", "van", "der", "den", "de", "la", "le", "di", "da", "del", "dos", "bin", "ibn", "al", "el", "zu"]
 #: What a name follows where it has no title (fixed values).
 CUES = ["my name is", "full name:", "signed by", "contact person:", "attn:", "mein Name ist", "ich heiße", "je m'appelle", "je m’appelle", "me llamo", "mi nombre es"]
+#: What a full name follows in letters, and what follows a name that a street bears (fixed values).
+SALUTATIONS = ["dear", "his name is", "her name is", "their name is", "kind regards,", "best regards,", "sincerely,", "yours,"]
+STREETS = ["Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Square", "Boulevard", "Blvd", "Drive", "Court", "Bridge", "Station", "Straße", "Strasse", "Platz"]
 #: Calling codes of two digits; those of 1 and 7 have one, all others three (fixed values).
 TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
@@ -74,21 +81,24 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+(?=(?:[ .()-]{0,2}\d){7,15}(?![ .-]?\d))\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,7}(?!\w)"
     r"|(?<![\w+])(?<!\d[.,-])(?:0\d{2,4}[ ./-]\d{3,4}[ -]?\d{3,4}|\(0\d{1,4}\)[ -]?\d{3,4}[ -]?\d{3,4}|0\d[ -]\d{4}[ -]\d{4}|0\d(?P<gap>[ .-])\d\d(?:(?P=gap)\d\d){3}|0\d{9,10}|[2-9]\d\d[2-9]\d{6})(?![\w]|[.,]\d)",
-    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}|(?:sk-|ghp_|xox[bp]-)(?=[A-Za-z-]*\d)[A-Za-z0-9-]{20,}|(?=[a-fA-F]*\d)[0-9a-fA-F]{32,})(?!\w)",
+    "secret": r"(?<!\w)(?:eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|(?<![/+=])(?=[A-Za-z0-9/+]{0,39}\d)(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])[A-Za-z0-9/+]{40}(?![/+=])|AKIA[0-9A-Z]{16}|(?:sk-|ghp_|xox[bp]-)(?=[A-Za-z-]*\d)[A-Za-z0-9-]{20,}|(?=[a-fA-F]*\d)[0-9a-fA-F]{32,})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _WORD = rf"(?:{_NAME}|[{_UPPER}]\.(?= [{_UPPER}]))"
 _FULL = rf"{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!(?:{_TITLES})\b){_WORD})*"
 TITLED = re.compile(rf"(?P<title>{_TITLES})\.?(?:[ \t\u00a0]{{1,3}}|\n)(?P<who>{_FULL})")
 CUED = re.compile(rf"(?<!\w)(?i:{"|".join(map(re.escape, CUES))})[ \t\u00a0]{{1,3}}(?!(?:{_TITLES})\b)(?P<who>{_FULL})")
+GREETED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, SALUTATIONS))})\s{{1,3}}(?!(?:{_TITLES})\b)(?P<who>{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!(?:{_TITLES})\b){_WORD})+)")
 _LOW_CUES = [c.lower() for c in CUES]
-LONE = re.compile(rf"(?<![{_INSIDE}]){_NAME}")
+LONE = re.compile(rf"(?<![{_INSIDE}]){_NAME}(?! (?:{'|'.join(map(re.escape, STREETS))})\b)")
+PASSPORT = re.compile(r"(?i:passport|passeport|pasaporte|reisepass)\W{1,3}(?:(?i:number|num|no|nr)\W{1,3})?(?P<who>[A-Z]{1,2}\d{6,8})(?!\w)")
 #: Whatever may be an IPv6 address; ``ipaddress`` decides.
 IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*(?:(?:\.\d{1,3}){3})?(?<!(?<!:):)(?!\w)")
-#: What is assigned to a name that stands for a secret.
-SECRET_NAME = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?\s{0,3}$")
-ASSIGNMENT = re.compile(r"[=:](?=\s{0,3}[\"']?[^\s\"',;])")
-ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;]{5,}[^\W_])")
+#: What stands before and after the sign of an assignment, whatever the blanks; a line end may follow the sign.
+SECRET_NAME = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?$")
+ASSIGNMENT = re.compile("[=:]")
+ASSIGNED = re.compile(r"""[=:]=?(?:[^\S\r\n]*|\s{0,3})(?:"(?P<double>[^"\r\n]+)"|'(?P<single>[^'\r\n]+)'|(?P<bare>[^\s"',;]*[^\W_]))""")
+_BARE = re.compile(r"(?=.*\d)|.{6}", re.DOTALL)
 #: All but names and assigned secrets hold a digit or an at sign, so only what lies around these is searched.
 SIGN, REACH = re.compile(r"[\d@]+"), 140
 
@@ -143,6 +153,9 @@ def _people(text: str) -> list[tuple[int, int, str, str, str]]:
     if any(c in low for c in _LOW_CUES):
         places = {t[0] for t in titled}
         titled = sorted(titled + [(*m.span("who"), _folded(m["who"]), "") for m in CUED.finditer(text) if m.start("who") not in places])
+    if any(c in low for c in SALUTATIONS):
+        places = {t[0] for t in titled}
+        titled = sorted(titled + [(*m.span("who"), _folded(m["who"]), "") for m in GREETED.finditer(text) if m.start("who") not in places])
     if not titled:
         return []
     # The first longer name that ends in a word, by gender; the first gender of a spelling.
@@ -187,9 +200,16 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
             found.append((*m.span(), m.lastgroup, _spelling(m.lastgroup, m.group()), ""))
     named, end = _people(text), 0
     for a in ASSIGNMENT.finditer(text):
-        if a.start() >= end and SECRET_NAME.search(text, max(0, a.start() - 24), a.start()) and (m := ASSIGNED.match(text, a.start())):
-            named.append((*m.span("value"), "secret", m["value"], ""))
-            end = m.end()
+        at = a.start()
+        while at > end and text[at - 1].isspace():
+            at -= 1
+        if at > end and SECRET_NAME.search(text, max(0, at - 24), at) and (m := ASSIGNED.match(text, a.start())):
+            which = m.lastgroup
+            if any(c.isalnum() for c in m[which]) and (which != "bare" or a[0] == "=" or _BARE.match(m[which])):
+                named.append((*m.span(which), "secret", m[which], ""))
+                end = m.end()
+    for m in PASSPORT.finditer(text):
+        named.append((*m.span("who"), "secret", m["who"], ""))
     for m in IP6.finditer(text) if "::" in text or text.count(":") > 6 else ():
         if (address := _ip6(m.group())) is not None:
             named.append((*m.span(), "ip6", address, ""))
@@ -264,7 +284,10 @@ def draw(key: bytes, kind: str, spelling: str, gender: str, attempt: int) -> str
         return "2001:db8:" + ":".join(_letters(bits, "123456789abcdef", 1) + _letters(bits, "0123456789abcdef", 3) for _ in range(6))
     if kind == "name":
         words = spelling.split(" ")
-        return " ".join(w if w in PARTICLES and len(words) > 1 else _name_word(bits, w, gender if i == 0 and len(words) > 1 else "", attempt) for i, w in enumerate(words))
+        more = attempt + (len(words) == 1)
+        return " ".join(w if w in PARTICLES and len(words) > 1 else _name_word(bits, w, gender if i == 0 and len(words) > 1 else "", more) for i, w in enumerate(words))
+    if kind in ("secret", "phone", "ssn", "card", "iban") and attempt > IN_FORMAT:
+        return draw(key, kind, spelling, gender, attempt % IN_FORMAT) + _letters(bits, "0123456789", attempt - IN_FORMAT)
     if kind == "secret":
         prefix = next((p for p in ("AKIA", "sk-", "ghp_", "xoxb-", "xoxp-") if spelling.startswith(p)), "")
         if prefix:
@@ -306,7 +329,7 @@ def _name_word(bits: Iterator[int], word: str, gender: str, attempt: int) -> str
         if len(part) == 1:
             out.append(_letters(bits, consonants, 1))
             continue
-        body = "".join(_letters(bits, consonants, 1) + _letters(bits, vowels, 1) for _ in range(2 + next(bits) % 2 + attempt))
+        body = "".join(_letters(bits, consonants, 1) + _letters(bits, vowels, 1) for _ in range(3 + next(bits) % 2 + attempt))
         out.append(body[:-1] + vowels[0] if gender == "f" and i == last else body + _letters(bits, consonants, 1))
     return "".join(out)
 
@@ -322,7 +345,7 @@ def written(kind: str, surrogate: str, like: str, spelling: str | None = None) -
     """The surrogate in the format of the place it takes. Of a name, only the words that stand there (spelling says which)."""
     if kind in ("card", "phone", "ssn", "iban"):
         signs = iter([c for c in surrogate if c.isalnum()])
-        out = "".join(next(signs) if c.isalnum() else c for c in like)
+        out = "".join([*(next(signs) if c.isalnum() else c for c in like), *signs])
         return out.upper() if kind == "iban" else out
     if kind == "name":
         words, forms = surrogate.split(" "), like.split(" ")
@@ -362,7 +385,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(run, "key long, kind string, spelling string, gender string").distinct()
 
 
-def collisions(entity: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
+def collisions(entity: DataFrame, key: bytes, rounds: int = MOST_DRAWS) -> DataFrame:
     """(kind, spelling, gender, attempt > 0) of entities whose earlier draws collide with an entity or another's surrogate."""
 
     def proposed(rows: DataFrame, attempt: int) -> DataFrame:

@@ -74,3 +74,36 @@ def test_both_ways_give_the_same_rows(spark, docs, monkeypatch, kind):
         assert ways[0] == ways[1] and len(ways[0]) == df.count()
     texts = [r.text for r in surrogates.replace(own, KEY, 0).collect() if r.doc_id is None and r.text]
     assert len(texts) == 3 and any(" Fx" in t for t in texts)
+
+
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ("password     = hunter2abc", "hunter2abc"), ("token:     abcdef123456", "abcdef123456"), ("password = 'abc1'", "abc1"), ("pwd=x", "x"), ('"api_key" :\t"ab"', "ab"), ("secret:\nlongvalue", "longvalue"),
+        ("password     =" + " " * 500 + "zq9", "zq9"), ("access key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), ("uses wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPL1KEY now", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPL1KEY"),
+        ("jwt eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0NTY3.SflKxwRJSMeKKF2QT4", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0NTY3.SflKxwRJSMeKKF2QT4"), ("passport AB1234567 was", "AB1234567"), ("Passport No. X12345678", "X12345678"), ("Dear Anna Kowalska, thanks", "Anna Kowalska"), ("his name is Peter Novak.", "Peter Novak"),
+    ],
+)
+def test_what_is_found(text, hidden):
+    assert [text[a:b] for a, b, *_ in surrogates.entities(text)] == [hidden]
+    assert hidden not in replaced(text) or len(hidden) < 2
+
+
+@pytest.mark.parametrize("text", ["token: it is", "the secret: now and then", "Dear Customer, hello", "password", "password =", "key: = :", "f(x) = y: z", "https://example.com/" + "a" * 40])
+def test_what_is_left(text):
+    assert surrogates.entities(text) == []
+
+
+def test_a_street_keeps_its_name():
+    text = "Mr Smith lives on Smith Street, and Smith likes it"
+    assert [text[a:b] for a, b, *_ in surrogates.entities(text)] == ["Smith", "Smith"] and "Smith Street" in replaced(text)
+
+
+def test_narrow_formats_end(spark):
+    """More short passwords than their format has room for: all surrogates differ, none is an entity, and the draws end."""
+    rows = [("secret", f"{c}", "") for c in "0123456789abcdefghij"] + [("name", f"name{i}", "") for i in range(3_000)]
+    entity = spark.createDataFrame(rows, "kind string, spelling string, gender string")
+    moved = {tuple(r)[:3]: r.attempt for r in surrogates.collisions(entity, KEY).collect()}
+    drawn = [(r[0], surrogates.draw(KEY, *r, moved.get(r, 0))) for r in rows]
+    assert len(set(drawn)) == len(rows) and not {(k, d) for k, d in drawn} & {r[:2] for r in rows}
+    assert sum(r[0] == "name" for r in moved) < 30
