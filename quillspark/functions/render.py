@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import sigmoid
@@ -43,6 +43,69 @@ def evidence_prompt(question: Column, hits: Column, intro: str, nothing: str) ->
     return F.concat_ws("\n\n", F.lit(intro), body, F.concat(F.lit("質問: "), question))
 
 
+#: Characters of evidence that a prompt may hold (fixed value).
+MOST_EVIDENCE = 28_000
+#: Per kind of question what comes before the evidence, and what stands in its place where there is none.
+KINDS = {
+    "internal": (
+        "次の社内資料だけを根拠に答えてください。資料にない事実や主体は補わず、足りなければ答えられないと伝えてください。出典の表記は本文に書かないでください。",
+        "社内資料に該当する記述はありませんでした。推測せず、資料からは答えられないと伝えてください。",
+    ),
+    "docs": (
+        "次の公式ドキュメントの記法だけで答えてください。古い書き方を混ぜず、載っていない関数名・引数・設定は補わないでください。出典の表記は本文に書かないでください。",
+        "公式ドキュメントに該当する記述はありませんでした。推測せず、ドキュメントからは答えられないと伝えてください。",
+    ),
+    "catalogue": (
+        "次の一覧は条件で絞り込んだ全件です。一覧にある事実だけを使い、型番と数値を文に織り込んで答えてください。一覧の行をそのまま写さないでください。",
+        "条件に合う製品はありませんでした。推測せず、該当なしと伝えてください。",
+    ),
+    "code": (
+        "次の資料をもとに、依頼されたソースコードだけを返してください。資料にないことは書かず、説明やコードフェンスは付けないでください。",
+        "根拠になる資料はありませんでした。依頼の範囲だけでソースコードを返してください。",
+    ),
+}
+
+
+def within_budget(hits: DataFrame, limit: int = MOST_EVIDENCE) -> DataFrame:
+    """hits (query_id, position, citation, text) with ``used``, the characters of a query's evidence up to each, cut where they exceed the limit.
+
+    A hit counts with its citation, its text and the signs that ``evidence_prompt`` puts around them, so a prompt stays within the limit.
+    """
+    order = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length(F.coalesce("citation", F.lit(""))) + F.length(F.coalesce("text", F.lit(""))) + F.length(F.col("position").cast("string")) + 6
+    return hits.withColumn("used", F.sum(size.cast("long")).over(order)).where(F.col("used") <= limit)
+
+
+def prompts(questions: DataFrame, hits: DataFrame, limit: int = MOST_EVIDENCE) -> DataFrame:
+    """(query_id, prompt, n_evidence) of questions (query_id, kind, text) and their hits; kinds are those of KINDS, others raise.
+
+    A query's evidence is bounded by the limit, so gathering it is.
+    """
+    kept = within_budget(hits, limit).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", "citation", "text"))).alias("hits"))
+    rows = questions.join(kept, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(kept.schema["hits"].dataType)))
+    prompt = F.raise_error(F.concat(F.lit("unknown kind "), F.col("kind"))).cast("string")
+    for kind, (intro, nothing) in KINDS.items():
+        prompt = F.when(F.col("kind") == kind, evidence_prompt(F.col("text"), F.col("hits"), intro, nothing)).otherwise(prompt)
+    return rows.select("query_id", prompt.alias("prompt"), F.size("hits").alias("n_evidence"))
+
+
+#: Suffix -> (language, comment opening, comment end) of code that is written with a header of references (fixed values).
+LANGUAGES = {".py": ("Python", "# ", ""), ".sh": ("シェルスクリプト", "# ", ""), ".js": ("JavaScript", "// ", ""), ".ts": ("TypeScript", "// ", ""), ".java": ("Java", "// ", ""), ".cs": ("C#", "// ", ""), ".go": ("Go", "// ", ""), ".sql": ("SQL", "-- ", ""), ".css": ("CSS", "/* ", " */"), ".html": ("HTML", "<!-- ", " -->")}
+
+
+def with_reference_header(code: Column, names: Column, suffix: Column, heading: str = "参照") -> Column:
+    """Code below a comment of its language that lists the references; without any, or in an unknown language, the code alone."""
+
+    def entry(opening: str, end: str):
+        return lambda name: F.concat(F.lit(f"{opening}- "), name, F.lit(end))
+
+    out = code
+    for ending, (_, opening, end) in LANGUAGES.items():
+        lines = F.concat(F.array(F.lit(f"{opening}{heading}{end}")), F.transform(names, entry(opening, end)))
+        out = F.when((F.lower(suffix) == ending) & (F.size(names) > 0), F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), code)).otherwise(out)
+    return out
+
+
 def results_markdown(hits: Column) -> Column:
     """Ordered hits (struct<citation, text>) as Markdown sections."""
     return F.concat_ws("\n\n", F.transform(hits, lambda h: F.concat(F.lit("### "), h["citation"], F.lit("\n\n"), h["text"])))

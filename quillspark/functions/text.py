@@ -193,7 +193,7 @@ def looks_like_html(content_type: Column, text: Column) -> Column:
 
 def mark_names(text: Column) -> Column:
     """Distinct names of {{marks}} in order of first appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\{\{\s*([^{}]+?)\s*\}\}"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\{\{\s*([^{}]+?)\s*\}\}"), F.lit(1)), lambda x: F.trim(x)))
 
 
 def fill_marks(text: Column, values: dict[str, str]) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from typing import Any, NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,3 +139,58 @@ def valid_conditions(raw: dict[str, Any], schema: dict[str, str]) -> dict[str, A
                 out[key] = {op: value}
                 break
     return out
+
+
+#: Directions that a reply may give, and whether they descend (fixed values).
+DIRECTIONS = {"desc": True, "asc": False}
+
+
+def _conditions(question: str, reply: str | None, schema: dict[str, str]) -> tuple[str, bool]:
+    """(conditions as JSON, failed) of one reply: what is valid and stands in the question."""
+    try:
+        raw = json.loads(reply or "")
+    except ValueError:
+        return "{}", True
+    if not isinstance(raw, dict):
+        return "{}", True
+    plain = unicodedata.normalize("NFKC", question or "")
+    numbers = {float(x) for x in re.findall(r"\d+(?:\.\d+)?", plain)}
+    out = {}
+    for key, wanted in valid_conditions(raw, schema).items():
+        value = next(iter(wanted.values()))
+        stands = unicodedata.normalize("NFKC", value) in plain if isinstance(value, str) else float(value) in numbers
+        if stands and isinstance(value, str) == (schema[key] == "string"):
+            out[key] = wanted
+    return json.dumps(out, ensure_ascii=False), False
+
+
+def extracted(replies: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """replies (question, reply, ...) with conditions (JSON) and failed: whether the model gave no JSON object at all.
+
+    A failed extraction isn't an empty one: a caller then says so and doesn't search without conditions. Without a schema nothing is asked
+    for and nothing fails.
+    """
+
+    @F.pandas_udf("conditions string, failed boolean")
+    def run(question: pd.Series, reply: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_conditions(q, r, schema) for q, r in zip(question, reply, strict=True)], columns=["conditions", "failed"])
+
+    found = run(F.col("question"), F.col("reply")) if schema else F.struct(F.lit("{}").alias("conditions"), F.lit(False).alias("failed"))
+    return replies.withColumn("_found", found).select(*[c for c in replies.columns if c not in ("conditions", "failed")], "_found.conditions", "_found.failed")
+
+
+def extracted_ranking(replies: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """replies (question, reply, ...) with ranking_key and descending: the first numeric key with a known direction in the reply to a question that asks
+    for an extreme; null where there is none. All from the reply as JSON, without Python."""
+    from ..functions.text import is_superlative
+
+    parsed = F.try_parse_json("reply")
+    numeric = [k for k, kind in schema.items() if kind == "number"]
+    places = []
+    for key in numeric:
+        direction = F.try_variant_get(parsed, f"$['{key}']", "string")
+        at = F.instr("reply", F.lit(json.dumps(key, ensure_ascii=False)))
+        places.append(F.when(direction.isin(list(DIRECTIONS)), F.struct(at.alias("at"), F.lit(key).alias("key"), (direction == "desc").alias("descending"))))
+    first = F.array_min(F.array_compact(F.array(*places))) if places else F.lit(None).cast("struct<at:int,key:string,descending:boolean>")
+    first = F.when(is_superlative(F.col("question")), first)
+    return replies.withColumn("_first", first).select(*[c for c in replies.columns if c not in ("ranking_key", "descending")], F.col("_first.key").alias("ranking_key"), "_first.descending")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..functions.text import bigrams
 from ..operators import evaluation, lexical, postings, retrieval, vector
 from ..operators.tables import materialize
@@ -199,3 +200,13 @@ def eval_verdict(spark, sf_dir):
     hits = _lexical(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n"))
     results = asked.join(hits, "query_id", "left").select(F.lit("relevant").alias("kind"), F.coalesce("n", F.lit(0)).alias("n_hits"), (F.col("query_id") % 100 != 50).alias("expected_found"))
     return evaluation.verdict(results)
+
+
+@query(f"""WITH {_BM25}, e AS (SELECT l.query_id, l.r AS position, l.id::VARCHAR AS citation, d.text FROM lex l JOIN documents d ON d.doc_id = l.id),
+u AS (SELECT query_id, position, citation, sum(length(citation) + length(coalesce(text, '')) + length(position::VARCHAR) + 6) OVER (PARTITION BY query_id ORDER BY position) AS used FROM e)
+SELECT query_id, position, citation, used::BIGINT AS used FROM u WHERE used <= 28000""")
+def evidence_budget(spark, sf_dir):
+    """Each passage's BM25 hits as evidence, as far as a prompt has room."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = _lexical(spark, sf_dir).join(docs, "id").select("query_id", F.col("rank").alias("position"), F.col("id").cast("string").alias("citation"), "text")
+    return render.within_budget(hits).select("query_id", "position", "citation", "used")

@@ -98,6 +98,18 @@ def directives(page_path: str, text: str) -> Iterator[tuple[str, str | None, dic
         yield m[0], target if attributes.get("source") and not target.startswith(("..", "/")) else None, attributes
 
 
+def filled(path: str, text: str, code: dict[str, str]) -> tuple[str, int]:
+    """A page with its directives replaced by fenced snippets of code (path -> content), and how many of them stay."""
+    out, lost = text, 0
+    for whole, target, attributes in list(directives(path, text)):
+        part = snippet(code[target], attributes) if target in code else None
+        if part is None:
+            lost += 1
+        else:
+            out = out.replace(whole, f"```{attributes.get('language', 'csharp')}\n{part}\n```", 1)
+    return out, lost
+
+
 def resolve_code(pages: DataFrame, blobs: DataFrame) -> DataFrame:
     """pages (path, text) with directives replaced by fenced snippets of blobs (path, content), and unresolved (int).
 
@@ -116,17 +128,8 @@ def resolve_code(pages: DataFrame, blobs: DataFrame) -> DataFrame:
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, missing = [], []
-            for path, text, code in zip(b["path"], b["text"], b["files"], strict=True):
-                code, lost, out = dict(code or {}), 0, text or ""
-                for whole, target, attributes in list(directives(path, out)):
-                    part = snippet(code[target], attributes) if target in code else None
-                    if part is None:
-                        lost += 1
-                    else:
-                        out = out.replace(whole, f"```{attributes.get('language', 'csharp')}\n{part}\n```", 1)
-                texts.append(out)
-                missing.append(lost)
+            made = [filled(path, text or "", dict(code or {})) for path, text, code in zip(b["path"], b["text"], b["files"], strict=True)]
+            texts, missing = [x for x, _ in made], [n for _, n in made]
             yield b.assign(text=texts, unresolved=missing)[schema.names]
 
     return rows.mapInPandas(fill, schema)
