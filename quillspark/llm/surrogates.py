@@ -81,7 +81,7 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+(?=(?:[ .()-]{0,2}\d){7,15}(?![ .-]?\d))\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,7}(?!\w)"
     r"|(?<![\w+])(?<!\d[.,-])(?:0\d{2,4}[ ./-]\d{3,4}[ -]?\d{3,4}|\(0\d{1,4}\)[ -]?\d{3,4}[ -]?\d{3,4}|0\d[ -]\d{4}[ -]\d{4}|0\d(?P<gap>[ .-])\d\d(?:(?P=gap)\d\d){3}|0\d{9,10}|[2-9]\d\d[2-9]\d{6})(?![\w]|[.,]\d)",
-    "secret": r"(?<!\w)(?:eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|(?<![/+=])(?=[A-Za-z0-9/+]{0,39}\d)(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])[A-Za-z0-9/+]{40}(?![/+=])|AKIA[0-9A-Z]{16}|(?:sk-|ghp_|xox[bp]-)(?=[A-Za-z-]*\d)[A-Za-z0-9-]{20,}|(?=[a-fA-F]*\d)[0-9a-fA-F]{32,})(?!\w)",
+    "secret": r"(?<!\w)(?:eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|(?=[A-Za-z0-9/+]{40}(?![\w/+=]))(?<![/+=])(?=[A-Za-z0-9/+]{0,39}\d)(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])[A-Za-z0-9/+]{40}|AKIA[0-9A-Z]{16}|(?:sk-|ghp_|xox[bp]-)(?=[A-Za-z-]*\d)[A-Za-z0-9-]{20,}|(?=[a-fA-F]*\d)[0-9a-fA-F]{32,})(?!\w)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _WORD = rf"(?:{_NAME}|[{_UPPER}]\.(?= [{_UPPER}]))"
@@ -91,7 +91,8 @@ CUED = re.compile(rf"(?<!\w)(?i:{"|".join(map(re.escape, CUES))})[ \t\u00a0]{{1,
 GREETED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, SALUTATIONS))})\s{{1,3}}(?!(?:{_TITLES})\b)(?P<who>{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!(?:{_TITLES})\b){_WORD})+)")
 _LOW_CUES = [c.lower() for c in CUES]
 LONE = re.compile(rf"(?<![{_INSIDE}]){_NAME}(?! (?:{'|'.join(map(re.escape, STREETS))})\b)")
-PASSPORT = re.compile(r"(?i:passport|passeport|pasaporte|reisepass)\W{1,3}(?:(?i:number|num|no|nr)\W{1,3})?(?P<who>[A-Z]{1,2}\d{6,8})(?!\w)")
+PASSPORTS = ["passport", "passeport", "pasaporte", "reisepass"]
+PASSPORT = re.compile(rf"(?i:{'|'.join(PASSPORTS)})\W{{1,3}}(?:(?i:number|num|no|nr)\W{{1,3}})?(?P<who>[A-Z]{{1,2}}\d{{6,8}})(?!\w)")
 #: Whatever may be an IPv6 address; ``ipaddress`` decides.
 IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*(?:(?:\.\d{1,3}){3})?(?<!(?<!:):)(?!\w)")
 #: What stands before and after the sign of an assignment, whatever the blanks; a line end may follow the sign.
@@ -143,13 +144,12 @@ def _folded(word: str) -> str:
     return unicodedata.normalize("NFC", word.casefold())
 
 
-def _people(text: str) -> list[tuple[int, int, str, str, str]]:
+def _people(text: str, low: str) -> list[tuple[int, int, str, str, str]]:
     """Names after a title or cue, and the places where their words stand alone."""
     titled = []
     for m in TITLED.finditer(text):
         if not (m.start() and text[m.start() - 1].isalnum()):
             titled.append((*m.span("who"), _folded(m["who"]), "m" if m["title"] in MALE else "f" if m["title"] in FEMALE else ""))
-    low = text.lower()
     if any(c in low for c in _LOW_CUES):
         places = {t[0] for t in titled}
         titled = sorted(titled + [(*m.span("who"), _folded(m["who"]), "") for m in CUED.finditer(text) if m.start("who") not in places])
@@ -198,7 +198,8 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     for start, end in _windows(text):
         for m in FINDER.finditer(text, start, end):
             found.append((*m.span(), m.lastgroup, _spelling(m.lastgroup, m.group()), ""))
-    named, end = _people(text), 0
+    low = text.lower()
+    named, end = _people(text, low), 0
     for a in ASSIGNMENT.finditer(text):
         at = a.start()
         while at > end and text[at - 1].isspace():
@@ -208,7 +209,7 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
             if any(c.isalnum() for c in m[which]) and (which != "bare" or a[0] == "=" or _BARE.match(m[which])):
                 named.append((*m.span(which), "secret", m[which], ""))
                 end = m.end()
-    for m in PASSPORT.finditer(text):
+    for m in PASSPORT.finditer(text) if any(w in low for w in PASSPORTS) else ():
         named.append((*m.span("who"), "secret", m["who"], ""))
     for m in IP6.finditer(text) if "::" in text or text.count(":") > 6 else ():
         if (address := _ip6(m.group())) is not None:

@@ -38,3 +38,13 @@ def test_every_operator_has_one_query():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_run_on_odd_tables(spark, docs, empty, tmp_path):
+    """Null and repeated ids, nulls in any column, clashing column names; and a table without rows."""
+    for name, table in (("odd", docs), ("empty", empty)):
+        table.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        assert all(r.lossless for r in rows) and bool(rows) == (name == "odd")
+        # Documents 3, 4, 5 and 11 have no letter, 2 is a copy, 9 is there twice; the one without an id stays.
+        assert {r.doc_id for r in rows} == (set() if name == "empty" else {None, 1, 6, 7, 8, 9, 10})
