@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render
 from ..functions.text import bigrams
-from ..operators import evaluation, lexical, postings, retrieval, vector
+from ..operators import clusters, evaluation, lexical, postings, retrieval, vector
 from ..operators.tables import materialize
 from .registry import query, table
 
@@ -97,6 +97,14 @@ def cosine_topk(spark, sf_dir):
     return _nearest(spark, sf_dir).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(f"WITH {_NEAR} SELECT query_id, id, round(d, 6) AS distance, r AS rank FROM near")
+def cosine_clustered_topk(spark, sf_dir):
+    """The same nearest vectors, from the clusters that may hold them."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return clusters.nearest(asked, clusters.clustered(rows), 30).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(f"""WITH {_NEAR}, l AS (SELECT vec_id AS id, label FROM embeddings)
 SELECT label, query_id, id, round(d, 6) AS distance FROM dist JOIN l USING (id) QUALIFY row_number() OVER (PARTITION BY label, query_id ORDER BY d, id) <= 3""")
 def cosine_topk_per_label(spark, sf_dir):
