@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import os.path
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
@@ -174,10 +175,8 @@ def audits(rows: DataFrame) -> DataFrame:
             for start, end, cost, audit in run:
                 values = joined(values, {(p, q): (c, a) for p, q, c, a in zip(start, end, cost, audit, strict=True)})
                 # What all values begin with is settled: it needs neither comparing nor copying any more.
-                same = len(min((a for _, a in values.values()), key=len))
                 texts = [a for _, a in values.values()]
-                while same and len({a[:same] for a in texts}) > 1:
-                    same -= 1
+                same = len(os.path.commonprefix(texts))
                 if same:
                     done.append(texts[0][:same])
                     values = {q: (c, a[same:]) for q, (c, a) in values.items()}

@@ -83,13 +83,14 @@ class HostList:
         self.of: dict[str, list[tuple[str, str]]] = {}
         for name, start, verdict in rules:
             self.of.setdefault(name.lower(), []).append((start, verdict))
+        self.most = max((name.count(".") + 1 for name in self.of), default=0)  # labels of a rule's host; longer ends of a host can't fit
 
     def find(self, name: str, way: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits."""
         labels = name.split(".")
         fits = [
             (len(end) + len(start), len(end), verdict == ALLOW, end + start, verdict)
-            for i in range(len(labels))
+            for i in range(max(0, len(labels) - self.most), len(labels))
             for end in [".".join(labels[i:])]
             for start, verdict in self.of.get(end, ())
             if way.startswith(start)

@@ -32,7 +32,7 @@ def by_list(host, path):
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    asked = [*urls(), None, "", "no scheme", "HTTP://EXAMPLE.ORG/es/1", "http://example.org", "http://notexample.org/es/", "x://ÄB.Org?/es/", "://com/fr/", "a://b.com/de/#://x.org/", "http://org/", "http://a.example.org/en/12?x", "http://x.net/" + "seg/" * 50_000]
+    asked = [*urls(), None, "", "no scheme", "HTTP://EXAMPLE.ORG/es/1", "http://example.org", "http://notexample.org/es/", "x://ÄB.Org?/es/", "://com/fr/", "a://b.com/de/#://x.org/", "http://org/", "http://a.example.org/en/12?x", "http://x.net/" + "seg/" * 50_000, "http://" + "a." * 100_000 + "example.org/es/"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(asked)], "page_id long, url string, host string, verdict string").repartition(3)
     mined = urlrules.fit(urlrules.listed(pages, URL_LIST))
     return asked, mined, {r.page_id: r for r in urlrules.judge(pages, URL_LIST, mined).collect()}
