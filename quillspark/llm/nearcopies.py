@@ -1,23 +1,30 @@
 """Near copies by five-word SimHash and shingle similarity: one row kept of each component.
 
-Two texts at Jaccard 0.8 differ in about ten of 64 SimHash bits, and tables of agreeing blocks for so many bits have keys too short
-to deal a corpus out. So texts meet by ``BANDS`` keys of ``ROWS`` min-hashes each in place of those blocks: a pair at 0.8 shares none with
-probability 5e-5. The rest is SimHash's: within what a key deals together, the distances of the fingerprints to the reference
-fingerprints are tabulated, pairs are discarded by the largest coordinate difference, and survivors within ``MOST_BITS`` bits
-(a pair at 0.8 is beyond with probability 1e-6) that are alike by size and by the number of equal min-hashes (a pair at 0.8 has fewer than asked
-with probability 1e-6) are verified by the Jaccard similarity of their whole shingle sets.
+The way is op4's, with more bits. Two texts at Jaccard 0.8 differ in about ten of 64 SimHash bits, and tables of agreeing blocks for so
+many bits have keys too short to deal a corpus out. So a text's SimHash goes on: ``BANDS`` blocks of ``ROWS`` further bits each, made like the
+first 64 from other hashes of the same shingles. A block is the coordinates to references with a single bit set, and there is one table for each
+block: texts meet that agree in all coordinates of one (a pair at 0.8 agrees in none with probability 4e-5, unlike texts in a given one with
+6e-5). Within what a table deals together, the distances of the fingerprints to the spread-out references are tabulated, pairs are discarded
+by the largest coordinate difference, and survivors are those within ``MOST_BITS`` of 64 bits (a pair at 0.8 is beyond with probability 1e-6;
+at so many bits the spread-out references discard next to nothing, it is the blocks that narrow) and alike enough in 128 bits (1e-6). What
+survives, alike by size and in all the further bits too (1e-6), is verified by the Jaccard similarity of the whole shingle sets. Bits are majorities over distinct shingles, so
+that repeats, which Jaccard doesn't see, don't move them. Only sets of four and five shingles, one within the other, differ in more bits for
+their similarity; they agree in no block with probability 0.005.
+
+A table's group gives its local components of survivors, each named by its members, so one that meets in many tables is taken once; the
+group's other texts go no further. Groups below are these components.
 
 Texts with the same words in the same order (ASCII case and white space aside) are one class, so copies cost one row. Pairs are
-verified in two rounds. The first one takes, of a key's group of up to ``SMALL`` classes, every surviving pair, and of a larger one the
+verified in two rounds. The first one takes, of a group of up to ``SMALL`` classes, every surviving pair, and of a larger one the
 tree of most alike classes that connects the group and each class with its ``NEAREST`` most alike (groups of more than ``GROUP`` classes are cut
 into slices for that, each class also meeting the group's smallest and largest class). That connects what belongs together in nearly
 all groups. The second round takes the groups whose classes are still in several components, and in them every surviving pair
-from two components; groups of several slices meet slice by slice, so no task gets a whole one, and no pair is left out. A pair
-that shares several keys is taken under the first of them only, and the second round's pairs are never written: a task names the
+from two components that the first one didn't verify; groups of several slices meet slice by slice, and no pair is left out. A pair
+that agrees in several blocks is taken under the first of them only, and the second round's pairs are never written: a task names the
 classes that have any, gets their texts, and goes through the pairs on the spot, the most alike first, so its output is linear too.
 
 Pairs carry no texts. A pair is verified in one of the groups where it was found, and a text goes once to each of these; there its shingles are
-made once, and pairs that are connected already are passed over. Texts of classes that share no key with others never move, and
+made once, and pairs that are connected already are passed over. Texts of classes that survive with no others never move, and
 neither do the rows that are kept: lists of row numbers are joined to them, broadcast up to ``MOST_BROADCAST`` numbers.
 
 Everything is keyed by a row number written once, so null and repeated doc_ids and rows repeated as a whole are rows like any
@@ -38,19 +45,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize
-from .simhash import SEED, majority, near_pairs, normal_line, pivot_table, shingle_hashes, whole_groups
+from .simhash import SEED, _stars, majority, near_pairs, normal_line, pivot_table, shingle_hashes, whole_groups
 
-BANDS, ROWS = 25, 5
+#: Blocks of further bits, and bits of a block; each block is one table.
+BANDS, ROWS = 96, 14
 #: Bits in which fingerprints of texts at the similarity in question may differ.
 MOST_BITS = 24
+#: Classes that meet in a table up to which all pairs are compared at once; in larger groups those reached already aren't compared again.
+CROWD = 4_096
 #: Classes of a group up to which all pairs are verified, most alike classes that are in larger ones, and classes of a slice.
 SMALL, NEAREST, GROUP = 8, 4, 512
 #: Texts held as shingles at once.
 PIECE = 1_000
 #: Numbers (of classes or rows) that are broadcast to what holds their texts; more are joined as Spark sees fit.
 MOST_BROADCAST = 1_000_000
-_FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}", SEED) | 1 for i in range(BANDS * ROWS)], "u8")
-_TERMS = np.array([xxhash.xxh64_intdigest(f"term {i}", SEED) for i in range(BANDS * ROWS)], "u8")
+#: Pairs of the first round that the second one knows of a class; those of classes with more may be verified again.
+MOST_TRIED = 500
+_FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}", SEED) | 1 for i in range(BANDS * ROWS // 64)], "u8")
+_TERMS = np.array([xxhash.xxh64_intdigest(f"term {i}", SEED) for i in range(BANDS * ROWS // 64)], "u8")
 
 
 def shingles(line: bytes, words: int) -> np.ndarray:
@@ -66,67 +78,83 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The min-hashes of a set."""
-    low = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
-    for at in range(0, len(hashes), 512):
-        np.minimum(low, (hashes[at : at + 512, None] * _FACTORS + _TERMS).min(axis=0), out=low)
-    return low
+def further(hashes: np.ndarray) -> np.ndarray:
+    """The words of further SimHash bits of a sorted set of shingles: those set in over half of them. Of two, which are similar to equal
+    sets only, the first one decides, so that unlike sets don't agree in all the bits that two hashes seldom share."""
+    hashes = hashes[:1] if len(hashes) == 2 else hashes
+    ones = np.zeros(BANDS * ROWS, "i8")
+    for at in range(0, len(hashes), 255):
+        words = (hashes[at : at + 255, None] ^ _TERMS) * _FACTORS
+        words = (words ^ words >> np.uint64(32)) * _FACTORS
+        words ^= words >> np.uint64(29)
+        ones += np.unpackbits(words.view("u1"), axis=1, bitorder="little").sum(axis=0, dtype="u1")
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def band_keys(low: np.ndarray) -> list[int]:
-    """A key for each band of min-hashes, signed."""
-    return [xxhash.xxh64_intdigest(part.tobytes(), i) - (1 << 63) for i, part in enumerate(low.reshape(BANDS, ROWS))]
+def words_of(sketches: list[bytes] | np.ndarray) -> np.ndarray:
+    """The further words of each text."""
+    return np.frombuffer(b"".join(sketches), "<u8").reshape(len(sketches), -1)
 
 
-def least_equal(similarity: float) -> int:
-    """Equal min-hashes that a pair of this similarity has at least, but for about one pair in a million."""
-    n = BANDS * ROWS
-    return int(n * similarity - 4.9 * math.sqrt(n * similarity * (1 - similarity)))
+def marks_of(words: np.ndarray) -> np.ndarray:
+    """The further bits, a byte each."""
+    return np.unpackbits(words.view("u1"), axis=1, bitorder="little")
+
+
+def band_keys(words: np.ndarray) -> np.ndarray:
+    """A key of each text for each table: the number of the table and the bits of its block."""
+    bits = marks_of(words).reshape(len(words), BANDS, ROWS)
+    return np.packbits(bits, axis=2, bitorder="little").view("<u2")[:, :, 0].astype("i8") + (np.arange(BANDS) << ROWS)
+
+
+def least_equal(similarity: float, bits: int = BANDS * ROWS) -> int:
+    """Equal bits that a pair of this similarity has at least, but for about one pair in a million."""
+    equal = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * equal - 4.9 * math.sqrt(bits * equal * (1 - equal)))
 
 
 def classed(docs: DataFrame, words: int) -> DataFrame:
-    """docs with a row number _nc_row, the class and fingerprint of the text (_nc_class, _nc_fp), its number of shingles _nc_size, its band
-    keys _nc_bands (none without words) and a byte of each min-hash, _nc_sketch; written, so that all stay as they are."""
-    own = {"_nc_class": "bigint", "_nc_fp": "bigint", "_nc_size": "bigint", "_nc_bands": "array<bigint>", "_nc_sketch": "binary"}
+    """docs with a row number _nc_row, the class and fingerprint of the text (_nc_class, _nc_fp), its number of shingles _nc_size and its
+    further bits _nc_sketch; written, so that all stay as they are."""
+    own = {"_nc_class": "bigint", "_nc_fp": "bigint", "_nc_size": "bigint", "_nc_sketch": "binary"}
     schema = docs.withColumns({c: F.lit(None).cast(t) for c, t in own.items()}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
             lines = [normal_line(x.as_py()) for x in batch.column("text")]
             classes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], "u8").view("i8")
-            fps, sizes, bands, sketches = [], [], [], []
+            fps, sizes, sketches = [], [], []
             for x in lines:
-                hashes = shingle_hashes(x, words)
-                fps.append(majority(hashes))
-                distinct = np.unique(hashes)
-                low = minima(distinct)
+                distinct = shingles(x, words)
+                fps.append(majority(distinct))
                 sizes.append(len(distinct))
-                bands.append(band_keys(low) if len(distinct) else [])
-                sketches.append((low >> np.uint64(32)).astype("u1").tobytes())
-            made = [pa.array(classes), pa.array(np.array(fps, "u8").view("i8")), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                sketches.append(further(distinct).tobytes())
+            made = [pa.array(classes), pa.array(np.array(fps, "u8").view("i8")), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
     return materialize(docs.mapInArrow(run, schema).withColumn("_nc_row", F.monotonically_increasing_id()), "near-classes")
 
 
 def may_be_similar(i: np.ndarray, j: np.ndarray, size: np.ndarray, marks: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs (i, j) are alike enough by size and equal min-hashes; at most some thousands at once are compared."""
-    keep = np.flatnonzero(np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))
-    least, out = least_equal(similarity), np.zeros(len(i), bool)
-    for part in np.array_split(keep, len(keep) // 20_000 + 1):
+    """Which pairs (i, j) are alike enough by size and equal marks; at most some thousands at once are compared."""
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    # Four shingles and five differ in 3 bits of 16, more than other sets of their similarity: they are verified as they are.
+    least, out = least_equal(similarity), (low >= similarity * high) & (low == 4)
+    keep = np.flatnonzero((low >= similarity * high) & (low != 4))
+    for part in np.array_split(keep, len(keep) // 1_000 + 1):
         out[part] = (marks[i[part]] == marks[j[part]]).sum(axis=1) >= least
     return out
 
 
 def forest(fp: np.ndarray, size: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one group that may be similar: the tree of the most alike ones, and each with its NEAREST most alike."""
-    n, none = len(fp), 255
-    gap = np.empty((n, n), "u1")
+    n, none = len(fp), np.iinfo("u2").max
+    gap = np.empty((n, n), "u2")
     for i in range(n):
         gap[i] = marks.shape[1] - (marks == marks[i]).sum(axis=1)
     unlike = np.minimum(size[:, None], size[None, :]) < similarity * np.maximum(size[:, None], size[None, :])
-    gap[unlike | (gap > marks.shape[1] - least_equal(similarity)) | (np.bitwise_count(fp[:, None] ^ fp[None, :]) > MOST_BITS)] = none
+    far = (gap > marks.shape[1] - least_equal(similarity)) & (np.minimum(size[:, None], size[None, :]) != 4)
+    gap[unlike | far | (np.bitwise_count(fp[:, None] ^ fp[None, :]) > MOST_BITS)] = none
     np.fill_diagonal(gap, none)
     near = np.argpartition(gap, min(NEAREST, n - 1), axis=1)[:, :NEAREST]
     us, vs = [np.repeat(np.arange(n), near.shape[1])], [near.ravel()]
@@ -167,62 +195,131 @@ def _pairs(group: np.ndarray, fp: np.ndarray, size: np.ndarray, marks: np.ndarra
     return np.concatenate(us), np.concatenate(vs)
 
 
-def shared_keys(one: DataFrame) -> DataFrame:
-    """Written (k, c, n): every class under every key that it shares with others, with the size of the key's group."""
-    keyed = one.select("c", F.explode("bands").alias("k"))
-    groups = materialize(keyed.groupBy(F.col("k").alias("gk")).agg(F.count("*").alias("n")).where("n > 1"), "near-groups")
-    shared = materialize(keyed.join(groups, F.col("k") == F.col("gk")).drop("gk"), "near-shared")
-    discard(groups)
-    return shared
+def _alike(fp: np.ndarray, more: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) survive the coordinate filter and the checks of bits."""
+    near = near_pairs(fp, table, i, j, MOST_BITS)
+    a, b = i[near], j[near]
+    near[near] = np.bitwise_count(fp[a] ^ fp[b]).astype("i8") + np.bitwise_count(more[a] ^ more[b]) <= 128 - least_equal(similarity, 128)
+    return near
+
+
+def local_components(group: np.ndarray, fp: np.ndarray, more: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows of whole groups, in group order, the first row of each one's component of surviving pairs."""
+    n = len(group)
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [n]))
+    sizes = ends - starts
+    table, us, vs, held = pivot_table(fp), [np.zeros(0, "i8")], [np.zeros(0, "i8")], 0
+    left = np.repeat(ends, sizes) - np.arange(n) - 1  # rows of the group that follow
+    rows, step = np.flatnonzero(np.repeat(sizes <= CROWD, sizes)), 0
+    while len(rows := rows[left[rows] > step]):
+        step += 1
+        i = rows[_alike(fp, more, table, rows, rows + step, similarity)]
+        us.append(i)
+        vs.append(i + step)
+        held += len(i)
+        if held > 20 * n:  # no more than a crowd's stars are kept of its pairs
+            root = _stars(np.concatenate(us), np.concatenate(vs), n)
+            us, vs, held = [np.flatnonzero(root != np.arange(n))], [root[root != np.arange(n)]], 0
+    for a, b in zip(starts[sizes > CROWD].tolist(), ends[sizes > CROWD].tolist(), strict=True):
+        rest, queue = np.arange(a, b), []
+        while len(rest):
+            if not queue:
+                queue.append(int(rest[0]))
+                rest = rest[1:]
+            x = queue.pop()
+            near = _alike(fp, more, table, np.full(len(rest), x), rest, similarity)
+            us.append(np.full(int(near.sum()), x))
+            vs.append(rest[near])
+            queue += rest[near].tolist()
+            rest = rest[~near]
+    return _stars(np.concatenate(us), np.concatenate(vs), n)
+
+
+def shared_keys(one: DataFrame, similarity: float) -> DataFrame:
+    """Written (k, c, first, n): every class c in each local component k of a table with others, with the least key under which these met and their number."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
+            words = words_of(batch.column("sketch").to_pylist())
+            own = [np.asarray(batch.column("c")), np.asarray(batch.column("fp")), words[:, 0].view("i8")]
+            made = [band_keys(words).ravel(), *[np.repeat(x, BANDS) for x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["k", "c", "fp", "more"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, fp, more in whole_groups(batches, ["k", "c", "fp", "more"], 20_000):
+            root = local_components(key, fp.view("u8"), more.view("u8"), similarity)
+            count, name = np.bincount(root, minlength=len(root)), np.zeros(len(root), "u8")
+            np.add.at(name, root, ids.view("u8"))  # classes are hashes, so their sum names a component
+            some = np.flatnonzero(count[root] > 1)
+            made = [name.view("i8")[root[some]], ids[some], key[some], count[root[some]]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["g", "c", "first", "n"])
+
+    keyed = one.where("size > 0").select("c", "fp", "sketch").mapInArrow(deal, "k long, c long, fp long, more long")
+    # At least as many tasks as tables: every text has a row in each, which is much for a few tasks.
+    tasks = max(BANDS, int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = keyed.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(meet, "g long, c long, first long, n long")
+    return materialize(met.groupBy(F.col("g").alias("k"), "c").agg(F.min("first").alias("first"), F.max("n").alias("n")), "near-shared")
 
 
 def _pair_rows(g: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     u, v = ids[i], ids[j]
-    return pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["g", "u", "v"])
+    rows = np.searchsorted(g, g[i], "right") - np.searchsorted(g, g[i])
+    return pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(rows), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["g", "rows", "u", "v"])
 
 
 def _once(pairs: DataFrame) -> DataFrame:
-    """Each pair in one of the groups where it was found."""
-    return pairs.groupBy("u", "v").agg(F.min("g").alias("g"))
+    """Each pair in the largest of the groups where it was found, which its texts then most often share with others."""
+    return pairs.groupBy("u", "v").agg(F.max_by("g", F.struct("rows", "g")).alias("g"))
 
 
 def candidates(shared: DataFrame, short: DataFrame, similarity: float) -> DataFrame:
     """(u, v, g): the pairs of the first round, each with a group that holds both."""
     part = F.xxhash64("k", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / GROUP)))
-    groups = shared.select(F.when(F.col("n") <= GROUP, F.col("k")).otherwise(part).alias("g"), "c").join(short.drop("bands"), "c")
+    groups = shared.select(F.when(F.col("n") <= GROUP, F.col("k")).otherwise(part).alias("g"), "c")
+    groups = groups.join(short.select("c", "fp", "size", "sketch"), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, fp, ids, size, sketch in whole_groups(batches, ["g", "fp", "c", "size", "sketch"], 20_000):
-            marks = np.frombuffer(b"".join(sketch), "u1").reshape(len(ids), -1)
-            yield _pair_rows(group, ids, *_pairs(group, fp.view("u8"), size, marks, similarity))
+        for group, fp, ids, size, sketch in whole_groups(batches, ["g", "fp", "c", "size", "sketch"], 2_000):
+            yield _pair_rows(group, ids, *_pairs(group, fp.view("u8"), size, marks_of(words_of(sketch)), similarity))
 
-    close = groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, u long, v long")
+    close = groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, rows long, u long, v long")
     large = shared.where(F.col("n") > GROUP)
     hubs = large.groupBy(F.col("k").alias("hk")).agg(F.array(F.min("c"), F.max("c")).alias("ends"))
     ends = large.join(hubs, F.col("k") == F.col("hk")).select(part.alias("g"), F.explode("ends").alias("u"), F.col("c").alias("v")).where("u <> v")
-    return _once(close.unionByName(ends.select("g", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
+    return _once(close.unionByName(ends.select("g", F.lit(GROUP).cast("long").alias("rows"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
 
 
-def _across(key: int, part: np.ndarray, component: np.ndarray, fp: np.ndarray, size: np.ndarray, marks: np.ndarray, bands: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs of one block of a key's group, from two components, that may be similar and share no earlier key; the most alike first."""
+def _across(some: dict[str, np.ndarray], marks: np.ndarray, bands: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs of one block of a key's group, from two components, that may be similar, agree in no earlier table and weren't verified
+    yet; the most alike first."""
+    part, component, ids, fp = some["part"], some["component"], some["c"], some["fp"].view("u8")
     us, vs, two = [np.zeros(0, "i8")], [np.zeros(0, "i8")], part[0] != part[-1]
     for i in range(len(fp) - 1):
         # Rows come in order of their slices; a block of two slices compares rows of different ones only.
         j = np.arange(int(np.searchsorted(part, part[i], "right")) if two else i + 1, len(fp))
         j = j[component[j] != component[i]]
         j = j[np.bitwise_count(fp[j] ^ fp[i]) <= MOST_BITS]
-        j = j[may_be_similar(np.full(len(j), i), j, size, marks, similarity)]
+        j = j[may_be_similar(np.full(len(j), i), j, some["size"], marks, similarity)]
         if len(j):
-            j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == key]
+            j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == some["first"][0]]
         us.append(np.full(len(j), i))
         vs.append(j)
     u, v = np.concatenate(us), np.concatenate(vs)
-    alike = np.concatenate([(marks[u[at : at + 20_000]] == marks[v[at : at + 20_000]]).sum(axis=1) for at in range(0, len(u), 20_000)] or [np.zeros(0, "i8")])
+    order = np.argsort(ids)
+    partners = np.concatenate([np.zeros(0, "i8"), *some["tried"]]).astype("i8")
+    place = order[np.minimum(np.searchsorted(ids, partners, sorter=order), len(ids) - 1)]
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in some["tried"]])
+    known = ids[place] == partners
+    done = np.minimum(owner, place)[known] * len(ids) + np.maximum(owner, place)[known]
+    new = ~np.isin(u * len(ids) + v, done)
+    u, v = u[new], v[new]
+    alike = np.concatenate([(marks[u[at : at + 1_000]] == marks[v[at : at + 1_000]]).sum(axis=1) for at in range(0, len(u), 1_000)] or [np.zeros(0, "i8")])
     order = np.argsort(-alike, kind="stable")
     return u[order], v[order]
 
 
-BLOCK = "g long, k long, part long, c long, component long, fp long, size long, sketch binary, bands array<long>"
+BLOCK = "g long, first long, part long, c long, component long, fp long, size long, sketch binary, tried array<long>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], similarity: float, columns: list[str], least: int) -> Iterator[tuple]:
@@ -231,28 +328,32 @@ def _blocks(batches: Iterator[pa.RecordBatch], similarity: float, columns: list[
         cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), len(rows[0])]
         for a, b in itertools.pairwise(cuts):
             some = dict(zip(columns, (x[a:b] for x in rows), strict=True))
-            marks = np.frombuffer(b"".join(some["sketch"]), "u1").reshape(b - a, -1)
-            yield some, *_across(int(some["k"][0]), some["part"], some["component"], some["fp"].view("u8"), some["size"], marks, np.stack(some["bands"]), similarity)
-
-
-def across(shared: DataFrame, short: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
-    """Rows of blocks: the classes of linked (id, component), or alone, that may be similar to one of another component in the block."""
-    placed = short.join(linked, F.col("c") == F.col("id"), "left").withColumn("component", F.coalesce("component", "c"))
-    placed = materialize(placed.drop("id"), "near-placed")
+            more = words_of(some["sketch"])
+            yield some, *_across(some, marks_of(more), band_keys(more), similarity)
+
+
+def across(shared: DataFrame, short: DataFrame, seen: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Rows of blocks: the classes of linked (id, component), or alone, that may be similar to one of another component in the block, by pairs that
+    aren't among those seen (u, v)."""
+    few = seen.groupBy(F.col("u").alias("few")).count().where(F.col("count") <= MOST_TRIED).select("few")
+    tried = seen.join(few, F.col("u") == F.col("few"), "left_semi").groupBy(F.col("u").alias("tu")).agg(F.collect_list("v").alias("tried"))
+    placed = short.drop("row").join(linked, F.col("c") == F.col("id"), "left").withColumn("component", F.coalesce("component", "c")).drop("id")
+    placed = placed.join(tried, F.col("c") == F.col("tu"), "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<long>"))).drop("tu")
+    placed = materialize(placed, "near-placed")
     keyed = shared.select("k", "c", "n").join(placed.select("c", "component"), "c")
     open_keys = keyed.groupBy(F.col("k").alias("ok")).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("ok")
     open_keys = materialize(open_keys, "near-open")
     slices = F.ceil(F.col("n") / GROUP)
-    dealt = shared.select("k", "c", "n").join(open_keys, F.col("k") == F.col("ok"), "left_semi").select("k", "c", slices.alias("s"), F.pmod(F.xxhash64("c"), slices).alias("part"))
+    dealt = shared.join(open_keys, F.col("k") == F.col("ok"), "left_semi").select("k", "first", "c", slices.alias("s"), F.pmod(F.xxhash64("c"), slices).alias("part"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
     columns = [x.split()[0] for x in BLOCK.split(", ")]
-    blocks = dealt.select(F.xxhash64("k", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "k", "part", "c").join(placed, "c").select(columns)
+    blocks = dealt.select(F.xxhash64("k", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "first", "part", "c").join(placed, "c").select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, i, j in _blocks(batches, similarity, columns, 5_000):
             kept = np.unique(np.concatenate((i, j)))
             if len(kept):
-                made = [pa.array([bytes(x) for x in rows[c][kept]], pa.binary()) if c == "sketch" else pa.array(list(rows[c][kept]), pa.list_(pa.int64())) if c == "bands" else pa.array(rows[c][kept]) for c in columns]
+                made = [pa.array([bytes(x) for x in rows[c][kept]], pa.binary()) if c == "sketch" else pa.array(list(rows[c][kept]), pa.list_(pa.int64())) if c == "tried" else pa.array(rows[c][kept]) for c in columns]
                 yield pa.RecordBatch.from_arrays(made, columns)
 
     return blocks.repartition("g").sortWithinPartitions("g", "part").mapInArrow(run, BLOCK)
@@ -325,16 +426,15 @@ def _short_list(ids: DataFrame) -> DataFrame:
 
 
 def components(one: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Written (id, component) of the linked classes of one (c, fp, bands, size, sketch), whose texts are in rows (_nc_class, text)."""
-    shared = shared_keys(one)
+    """Written (id, component) of the linked classes of one (c, row, fp, size, sketch), whose texts are in rows (_nc_row, text)."""
+    shared = shared_keys(one, similarity)
     met = materialize(shared.select("c").distinct(), "near-met")
-    few = _short_list(met)
-    short = materialize(one.select("c", "fp", "size", "sketch", "bands").join(few, "c", "left_semi"), "near-short")
-    texts = rows.select(F.col("_nc_class").alias("c"), F.col("text").alias("t")).join(few, "c", "left_semi").groupBy("c").agg(F.min("t").alias("t"))
+    short = materialize(one.join(_short_list(met), "c", "left_semi"), "near-short")
+    texts = rows.select("_nc_row", F.col("text").alias("t")).join(_short_list(short.select("row", "c")), F.col("_nc_row") == F.col("row")).select("c", "t")
     texts = materialize(texts, "near-texts")
     seen = materialize(candidates(shared, short, similarity), "near-pairs")
     linked = materialize(connected_components(verified(seen, texts, words, similarity)), "near-linked")
-    rest = materialize(across(shared, short, linked, similarity), "near-rest")
+    rest = materialize(across(shared, short, seen, linked, similarity), "near-rest")
     edges = materialize(verified_blocks(rest, texts, words, similarity), "near-edges")
     if not edges.isEmpty():
         known = linked.select(F.col("id").alias("u"), F.col("component").alias("v"))
@@ -347,7 +447,7 @@ def components(one: DataFrame, rows: DataFrame, words: int, similarity: float) -
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component of texts whose shingle sets have at least this Jaccard similarity."""
     rows = classed(docs, words)
-    names = {"_nc_class": "c", "_nc_fp": "fp", "_nc_bands": "bands", "_nc_size": "size", "_nc_sketch": "sketch"}
+    names = {"_nc_class": "c", "_nc_row": "row", "_nc_fp": "fp", "_nc_size": "size", "_nc_sketch": "sketch"}
     one = materialize(rows.select(*[F.col(c).alias(to) for c, to in names.items()]).dropDuplicates(["c"]), "near-one")
     linked = components(one, rows, words, similarity)
     discard(one)

@@ -166,3 +166,76 @@ def test_pairs_carry_no_texts(spark):
     pairs = spark.createDataFrame([(u, v, u // 10) for u in range(20) for v in range(u + 1, 20) if u // 10 == v // 10], "u long, v long, g long")
     found = nearcopies.verified(pairs, texts, 5, 0.8).collect()
     assert len(found) == 18 and components_of(20, [(r.u, r.v) for r in found]) == [0] * 10 + [10] * 10
+
+
+def test_repeats_do_not_move_the_bits(spark):
+    """Two texts with the same shingles but for a few, one of them repeating a passage 400 times: sets are compared, so they are linked."""
+    base, loop = [f"w{i}" for i in range(100)], [f"r{i}" for i in range(5)]
+    texts = [" ".join([*base, *loop * 2]), " ".join([*base, *loop * 400])]
+    assert brute_roots(texts) == [0]
+    kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
+def plain_further(text):
+    """Further bits of a text, one bit and one shingle at a time."""
+    hashes = sorted(nearcopies.shingles(simhash.normal_line(text), 5).tolist())
+    most, out = (1 << 64) - 1, []
+    for term, factor in zip(nearcopies._TERMS.tolist(), nearcopies._FACTORS.tolist(), strict=True):
+        words = []
+        for h in hashes:
+            x = (h ^ term) * factor & most
+            x = (x ^ x >> 32) * factor & most
+            words.append(x ^ x >> 29)
+        out += [2 * sum(x >> b & 1 for x in words) + (words[0] >> b & 1) * (len(words) == 2) > len(words) for b in range(64)]
+    return out
+
+
+def test_tables_are_blocks_of_simhash_bits():
+    texts = ["one", "a few words only and more", "a few words only and more words to it", " ".join(f"w{i}" for i in range(700))]
+    words = np.stack([nearcopies.further(nearcopies.shingles(simhash.normal_line(t), 5)) for t in texts])
+    keys, marks = nearcopies.band_keys(words), nearcopies.marks_of(words)
+    for t, key, mark in zip(texts, keys.tolist(), marks.tolist(), strict=True):
+        bits = plain_further(t)
+        blocks = [bits[at : at + nearcopies.ROWS] for at in range(0, len(bits), nearcopies.ROWS)]
+        assert key == [(n << nearcopies.ROWS) + sum(b << i for i, b in enumerate(block)) for n, block in enumerate(blocks)] and mark == bits
+
+
+def test_pairs_at_the_similarity_meet():
+    """Random texts with Jaccard similarity near 0.8, very short ones among them: all agree in a block and are within the bits; hardly any unlike ones are."""
+    rng, near, met = random.Random(4), 0, []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9 if k % 4 == 0 else rng.randint(60, 200))]
+        edited = [*words, "more"] if len(words) == 9 else ["other" if i % 45 == 0 else x for i, x in enumerate(words)]
+        a, b = (plain_shingles(" ".join(x)) for x in (words, edited))
+        if len(a & b) >= 0.8 * len(a | b):
+            sets = [nearcopies.shingles(simhash.normal_line(" ".join(x)), 5) for x in (words, edited)]
+            x = np.stack([nearcopies.further(s) for s in sets])
+            fp = np.array([simhash.majority(s) for s in sets], "u8")
+            near += (nearcopies.band_keys(x)[0] == nearcopies.band_keys(x)[1]).any()
+            met.append((fp, x))
+            table, one = simhash.pivot_table(fp), np.array([0])
+            assert nearcopies._alike(fp, x[:, 0].copy(), table, one, one + 1, 0.8)[0] and (nearcopies.marks_of(x)[0] == nearcopies.marks_of(x)[1]).sum() >= nearcopies.least_equal(0.8)
+    assert len(met) > 150 and near == len(met)
+    fp, more = np.array([f[0] for f, _ in met]), np.array([x[0, 0] for _, x in met])
+    i, j = np.triu_indices(len(met), 1)
+    assert nearcopies._alike(fp, more, simhash.pivot_table(fp), i, j, 0.8).mean() < 2e-4
+
+
+@pytest.mark.parametrize("crowd", [4_096, 5])
+def test_local_components(monkeypatch, crowd):
+    """Groups of near and unlike fingerprints against all pairs, whether all are compared or those reached already are left out."""
+    monkeypatch.setattr(nearcopies, "CROWD", crowd)
+    rng = np.random.default_rng(2)
+    n = 300
+    base, of = rng.integers(0, 1 << 63, (6, 2), dtype="u8"), rng.integers(0, 6, n)
+    flips = np.packbits(rng.random((n, 128)) < 0.15, axis=1).view("u8")
+    fp, more = (base[of] ^ flips).T.copy()
+    group = np.sort(np.concatenate((np.zeros(200, "i8"), rng.integers(1, 30, n - 200))))
+
+    def near(i, j):
+        a, b = int(fp[i] ^ fp[j]).bit_count(), int(more[i] ^ more[j]).bit_count()
+        return group[i] == group[j] and a <= nearcopies.MOST_BITS and a + b <= 128 - nearcopies.least_equal(0.8, 128)
+
+    want = components_of(n, [(i, j) for i in range(n) for j in range(i) if near(i, j)])
+    assert 20 < len(set(want)) < n and nearcopies.local_components(group, fp, more, 0.8).tolist() == want
