@@ -204,9 +204,11 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
         at = a.start()
         while at > end and text[at - 1].isspace():
             at -= 1
-        if at > end and SECRET_NAME.search(text, max(0, at - 24), at) and (m := ASSIGNED.match(text, a.start())):
+        if at > end and (name := SECRET_NAME.search(text, max(0, at - 24), at)) and (m := ASSIGNED.match(text, a.start())):
             which = m.lastgroup
-            if any(c.isalnum() for c in m[which]) and (which != "bare" or a[0] == "=" or _BARE.match(m[which])):
+            # One character is what a parser calls a token; a password may be so short.
+            secret = any(c.isalnum() for c in m[which]) and (len(m[which]) > 1 or name[0][:5].lower() != "token")
+            if secret and (which != "bare" or a[0] == "=" or _BARE.match(m[which])):
                 named.append((*m.span(which), "secret", m[which], ""))
                 end = m.end()
     for m in PASSPORT.finditer(text) if any(w in low for w in PASSPORTS) else ():

@@ -107,3 +107,9 @@ def test_narrow_formats_end(spark):
     drawn = [(r[0], surrogates.draw(KEY, *r, moved.get(r, 0))) for r in rows]
     assert len(set(drawn)) == len(rows) and not {(k, d) for k, d in drawn} & {r[:2] for r in rows}
     assert sum(r[0] == "name" for r in moved) < 30
+
+
+def test_one_character_is_no_token():
+    """What parsers assign to a token isn't a credential; passwords of one character are, and so are longer tokens."""
+    found = [e[3] for e in surrogates.entities("token = 'x'; token=y, \"token\": \"z\" password = 'p' pwd=q, access_token = 'ab'")]
+    assert found == ["p", "q", "ab"]
