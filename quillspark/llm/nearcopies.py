@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +53,12 @@ BANDS, ROWS = 96, 14
 MOST_BITS = 24
 #: Classes that meet in a table up to which all pairs are compared at once; in larger groups those reached already aren't compared again.
 CROWD = 4_096
+#: The same for groups by all bits, whose pairs are dearer.
+CLOSE = 64
 #: Classes of a group up to which all pairs are verified, most alike classes that are in larger ones, and classes of a slice.
 SMALL, NEAREST, GROUP = 8, 4, 512
+#: Classes, and shingles of theirs, up to which what hangs together is verified by one task at once.
+MOST_CLASSES, MOST_SHINGLES = 4_096, 4_000_000
 #: Texts held as shingles at once.
 PIECE = 1_000
 #: Numbers (of classes or rows) that are broadcast to what holds their texts; more are joined as Spark sees fit.
@@ -114,9 +118,9 @@ def least_equal(similarity: float, bits: int = BANDS * ROWS) -> int:
 
 
 def classed(docs: DataFrame, words: int) -> DataFrame:
-    """docs with a row number _nc_row, the class and fingerprint of the text (_nc_class, _nc_fp), its number of shingles _nc_size and its
-    further bits _nc_sketch; written, so that all stay as they are."""
-    own = {"_nc_class": "bigint", "_nc_fp": "bigint", "_nc_size": "bigint", "_nc_sketch": "binary"}
+    """docs with a row number _nc_row, the class and fingerprint of the text (_nc_class, _nc_fp), its number of shingles _nc_size, its
+    further bits _nc_sketch and the first word of these, _nc_more; written, so that all stay as they are."""
+    own = {"_nc_class": "bigint", "_nc_fp": "bigint", "_nc_size": "bigint", "_nc_sketch": "binary", "_nc_more": "bigint"}
     schema = docs.withColumns({c: F.lit(None).cast(t) for c, t in own.items()}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,8 @@ def classed(docs: DataFrame, words: int) -> DataFrame:
                 fps.append(majority(distinct))
                 sizes.append(len(distinct))
                 sketches.append(further(distinct).tobytes())
-            made = [pa.array(classes), pa.array(np.array(fps, "u8").view("i8")), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            more = words_of(sketches)[:, 0].view("i8")
+            made = [pa.array(classes), pa.array(np.array(fps, "u8").view("i8")), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(more)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
     return materialize(docs.mapInArrow(run, schema).withColumn("_nc_row", F.monotonically_increasing_id()), "near-classes")
@@ -203,32 +208,32 @@ def _alike(fp: np.ndarray, more: np.ndarray, table: np.ndarray, i: np.ndarray, j
     return near
 
 
-def local_components(group: np.ndarray, fp: np.ndarray, more: np.ndarray, similarity: float) -> np.ndarray:
-    """For rows of whole groups, in group order, the first row of each one's component of surviving pairs."""
+def _local(group: np.ndarray, crowd: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For rows of whole groups, in group order, the first row of each one's component of pairs (i, j) that are alike."""
     n = len(group)
     cuts = np.flatnonzero(np.diff(group)) + 1
     starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [n]))
     sizes = ends - starts
-    table, us, vs, held = pivot_table(fp), [np.zeros(0, "i8")], [np.zeros(0, "i8")], 0
+    us, vs, held = [np.zeros(0, "i8")], [np.zeros(0, "i8")], 0
     left = np.repeat(ends, sizes) - np.arange(n) - 1  # rows of the group that follow
-    rows, step = np.flatnonzero(np.repeat(sizes <= CROWD, sizes)), 0
+    rows, step = np.flatnonzero(np.repeat(sizes <= crowd, sizes)), 0
     while len(rows := rows[left[rows] > step]):
         step += 1
-        i = rows[_alike(fp, more, table, rows, rows + step, similarity)]
+        i = rows[alike(rows, rows + step)]
         us.append(i)
         vs.append(i + step)
         held += len(i)
         if held > 20 * n:  # no more than a crowd's stars are kept of its pairs
             root = _stars(np.concatenate(us), np.concatenate(vs), n)
             us, vs, held = [np.flatnonzero(root != np.arange(n))], [root[root != np.arange(n)]], 0
-    for a, b in zip(starts[sizes > CROWD].tolist(), ends[sizes > CROWD].tolist(), strict=True):
+    for a, b in zip(starts[sizes > crowd].tolist(), ends[sizes > crowd].tolist(), strict=True):
         rest, queue = np.arange(a, b), []
         while len(rest):
             if not queue:
                 queue.append(int(rest[0]))
                 rest = rest[1:]
             x = queue.pop()
-            near = _alike(fp, more, table, np.full(len(rest), x), rest, similarity)
+            near = alike(np.full(len(rest), x), rest)
             us.append(np.full(int(near.sum()), x))
             vs.append(rest[near])
             queue += rest[near].tolist()
@@ -236,30 +241,74 @@ def local_components(group: np.ndarray, fp: np.ndarray, more: np.ndarray, simila
     return _stars(np.concatenate(us), np.concatenate(vs), n)
 
 
+def local_components(group: np.ndarray, fp: np.ndarray, more: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows of whole groups, in group order, the first row of each one's component of surviving pairs."""
+    table = pivot_table(fp)
+    return _local(group, CROWD, lambda i, j: _alike(fp, more, table, i, j, similarity))
+
+
+def fine_components(group: np.ndarray, fp: np.ndarray, size: np.ndarray, words: np.ndarray, similarity: float) -> np.ndarray:
+    """The same by all bits and the sizes: components of the pairs that are left to verify."""
+    table, marks = pivot_table(fp), marks_of(words)
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = near_pairs(fp, table, i, j, MOST_BITS)
+        near[near] = may_be_similar(i[near], j[near], size, marks, similarity)
+        return near
+
+    return _local(group, CLOSE, alike)
+
+
+def _named(root: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, names, sizes) of the components' rows that aren't alone. A name is the sum of its rows' ids, which are hashes."""
+    count, name = np.bincount(root, minlength=len(root)), np.zeros(len(root), "u8")
+    np.add.at(name, root, ids)
+    some = np.flatnonzero(count[root] > 1)
+    return some, name.view("i8")[root[some]], count[root[some]]
+
+
 def shared_keys(one: DataFrame, similarity: float) -> DataFrame:
-    """Written (k, c, first, n): every class c in each local component k of a table with others, with the least key under which these met and their number."""
+    """Written (k, fp, more, first): the fingerprint and first further word of every class in each local component k of a table with others, with the
+    least key under which these met. The two words stand for the class, so that a table's rows hold nothing else."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
-            words = words_of(batch.column("sketch").to_pylist())
-            own = [np.asarray(batch.column("c")), np.asarray(batch.column("fp")), words[:, 0].view("i8")]
-            made = [band_keys(words).ravel(), *[np.repeat(x, BANDS) for x in own]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["k", "c", "fp", "more"])
+            keys = band_keys(words_of(batch.column("sketch").to_pylist()))
+            made = [keys.ravel(), *[np.repeat(np.asarray(batch.column(c)), BANDS) for c in ("fp", "more")]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["k", "fp", "more"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, fp, more in whole_groups(batches, ["k", "c", "fp", "more"], 20_000):
+        for key, fp, more in whole_groups(batches, ["k", "fp", "more"], 20_000):
             root = local_components(key, fp.view("u8"), more.view("u8"), similarity)
-            count, name = np.bincount(root, minlength=len(root)), np.zeros(len(root), "u8")
-            np.add.at(name, root, ids.view("u8"))  # classes are hashes, so their sum names a component
-            some = np.flatnonzero(count[root] > 1)
-            made = [name.view("i8")[root[some]], ids[some], key[some], count[root[some]]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["g", "c", "first", "n"])
+            some, name, _ = _named(root, fp.view("u8") * _FACTORS[0] ^ more.view("u8") * _FACTORS[1])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, fp[some], more[some], key[some])], ["g", "fp", "more", "first"])
 
-    keyed = one.where("size > 0").select("c", "fp", "sketch").mapInArrow(deal, "k long, c long, fp long, more long")
+    keyed = one.where("size > 0").select("fp", "more", "sketch").mapInArrow(deal, "k long, fp long, more long")
     # At least as many tasks as tables: every text has a row in each, which is much for a few tasks.
     tasks = max(BANDS, int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = keyed.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(meet, "g long, c long, first long, n long")
-    return materialize(met.groupBy(F.col("g").alias("k"), "c").agg(F.min("first").alias("first"), F.max("n").alias("n")), "near-shared")
+    met = keyed.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(meet, "g long, fp long, more long, first long")
+    return materialize(met.groupBy(F.col("g").alias("k"), "fp", "more").agg(F.min("first").alias("first")), "near-met")
+
+
+def shared_groups(met: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
+    """Written (k, c, first, n, hub): every class c in each component k of a local component of met (shared_keys) by all bits, with their number n and
+    one of them. What is alike in two words only ends here, so groups hold next to none but pairs that are verified."""
+    few = materialize(met.select("fp", "more").distinct(), "near-words")
+    some = materialize(one.join(_short_list(few), ["fp", "more"], "left_semi").select("c", "fp", "more", "size", "sketch"), "near-some")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, fp, ids, first, size, sketch in whole_groups(batches, ["k", "fp", "c", "first", "size", "sketch"], 2_000):
+            root = fine_components(group, fp.view("u8"), size, words_of(sketch), similarity)
+            rows, name, n = _named(root, ids.view("u8"))
+            hub = ids.copy()
+            np.minimum.at(hub, root, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, ids[rows], first[rows], n, hub[root[rows]])], ["g", "c", "first", "n", "hub"])
+
+    fine = met.join(some, ["fp", "more"]).select("k", "fp", "c", "first", "size", "sketch").repartition("k").sortWithinPartitions("k").mapInArrow(run, "g long, c long, first long, n long, hub long")
+    shared = materialize(fine.groupBy(F.col("g").alias("k"), "c").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.min("hub").alias("hub")), "near-shared")
+    for old in (few, some):
+        discard(old)
+    return shared
 
 
 def _pair_rows(g: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -322,14 +371,29 @@ def _across(some: dict[str, np.ndarray], marks: np.ndarray, bands: np.ndarray, s
 BLOCK = "g long, first long, part long, c long, component long, fp long, size long, sketch binary, tried array<long>"
 
 
+def _slices(some: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+    """The blocks of one group: itself, or if it is large each of its slices and each two of them, but for those of one component."""
+    n, g, component = len(some["c"]), int(some["g"][0]), some["component"]
+    if n <= GROUP or some["part"].any():  # small, or cut before
+        yield some
+        return
+    part = np.arange(n) // GROUP
+    ends = [(p * GROUP, min(n, (p + 1) * GROUP)) for p in range(part[-1] + 1)]
+    for (p, (a, b)), (q, (c, d)) in itertools.combinations_with_replacement(enumerate(ends), 2):
+        at = np.arange(a, b) if p == q else np.concatenate((np.arange(a, b), np.arange(c, d)))
+        if (component[at] != component[a]).any():
+            name = np.array(xxhash.xxh64_intdigest(f"{g} {p} {q}", SEED), "u8").view("i8")
+            yield {k: x[at] for k, x in some.items()} | {"g": np.full(len(at), name), "part": part[at]}
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], similarity: float, columns: list[str], least: int) -> Iterator[tuple]:
-    """(rows, i, j) of each block, in order of g and part: its columns and the pairs to verify."""
+    """(rows, i, j) of each block of the groups g, in order of their parts: its columns and the pairs to verify."""
     for rows in whole_groups(batches, columns, least):
         cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), len(rows[0])]
         for a, b in itertools.pairwise(cuts):
-            some = dict(zip(columns, (x[a:b] for x in rows), strict=True))
-            more = words_of(some["sketch"])
-            yield some, *_across(some, marks_of(more), band_keys(more), similarity)
+            for some in _slices(dict(zip(columns, (x[a:b] for x in rows), strict=True))):
+                more = words_of(some["sketch"])
+                yield some, *_across(some, marks_of(more), band_keys(more), similarity)
 
 
 def across(shared: DataFrame, short: DataFrame, seen: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
@@ -343,11 +407,9 @@ def across(shared: DataFrame, short: DataFrame, seen: DataFrame, linked: DataFra
     keyed = shared.select("k", "c", "n").join(placed.select("c", "component"), "c")
     open_keys = keyed.groupBy(F.col("k").alias("ok")).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("ok")
     open_keys = materialize(open_keys, "near-open")
-    slices = F.ceil(F.col("n") / GROUP)
-    dealt = shared.join(open_keys, F.col("k") == F.col("ok"), "left_semi").select("k", "first", "c", slices.alias("s"), F.pmod(F.xxhash64("c"), slices).alias("part"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
     columns = [x.split()[0] for x in BLOCK.split(", ")]
-    blocks = dealt.select(F.xxhash64("k", F.least("part", "with"), F.greatest("part", "with")).alias("g"), "first", "part", "c").join(placed, "c").select(columns)
+    dealt = shared.join(open_keys, F.col("k") == F.col("ok"), "left_semi").select(F.col("k").alias("g"), "first", F.lit(0).cast("long").alias("part"), "c")
+    groups = dealt.join(placed, "c").select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, i, j in _blocks(batches, similarity, columns, 5_000):
@@ -356,7 +418,7 @@ def across(shared: DataFrame, short: DataFrame, seen: DataFrame, linked: DataFra
                 made = [pa.array([bytes(x) for x in rows[c][kept]], pa.binary()) if c == "sketch" else pa.array(list(rows[c][kept]), pa.list_(pa.int64())) if c == "tried" else pa.array(rows[c][kept]) for c in columns]
                 yield pa.RecordBatch.from_arrays(made, columns)
 
-    return blocks.repartition("g").sortWithinPartitions("g", "part").mapInArrow(run, BLOCK)
+    return groups.repartition("g").sortWithinPartitions("g", "component").mapInArrow(run, BLOCK)
 
 
 def verified_blocks(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -420,26 +482,91 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.repartition("g").sortWithinPartitions("g", "pair").mapInArrow(run, "u long, v long")
 
 
+def _survivors(i: int, fp: np.ndarray, size: np.ndarray, more: np.ndarray, table: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The later rows j that row i has to be verified with, and in how many further bits they differ."""
+    j = np.arange(i + 1, len(fp))
+    j = j[near_pairs(fp, table, np.full(len(j), i), j, MOST_BITS)]
+    low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+    j, low = j[low >= similarity * high], low[low >= similarity * high]
+    gap = np.bitwise_count(more[j] ^ more[i]).sum(axis=1, dtype="i8")
+    near = (gap <= BANDS * ROWS - least_equal(similarity)) | (low == 4)  # as in may_be_similar
+    return j[near], gap[near]
+
+
+def linked_whole(fp: np.ndarray, size: np.ndarray, more: np.ndarray, texts: np.ndarray, words: int, similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs that connect rows as all pairs of the similarity do: each row's NEAREST most alike first, then all others that aren't
+    connected yet. Only one row's pairs are held at a time."""
+    table, of, root, tried, out = pivot_table(fp), {}, {}, set(), []
+
+    def set_of(x: int) -> np.ndarray:
+        if x not in of:
+            of[x] = shingles(normal_line(texts[x]), words)
+        return of[x]
+
+    for most in (NEAREST, len(fp)):
+        if len({_find(root, x) for x in range(len(fp))}) == 1:
+            break
+        for i in range(len(fp) - 1):
+            j, gap = _survivors(i, fp, size, more, table, similarity)
+            for x in j[np.argsort(gap, kind="stable")[:most]].tolist():
+                a, b = _find(root, i), _find(root, x)
+                if a != b and (i, x) not in tried:
+                    if jaccard(set_of(i), set_of(x)) >= similarity:
+                        root[a] = b
+                        out.append((i, x))
+                    elif most == NEAREST:
+                        tried.add((i, x))
+    return out
+
+
+def verified_whole(groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): pairs that connect the classes of each group of groups (g, c, fp, size, sketch, t) as all pairs do whose texts t are at least so similar."""
+    columns = ["g", "c", "fp", "size", "sketch", "t"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, columns, 500):
+            cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), len(rows[0])]
+            for a, b in itertools.pairwise(cuts):
+                _, ids, fp, size, sketch, t = (x[a:b] for x in rows)
+                pairs = linked_whole(fp.view("u8"), size, words_of(sketch), t, words, similarity)
+                u, v = np.array(pairs, "i8").reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+
+    return groups.select(columns).repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+
+
 def _short_list(ids: DataFrame) -> DataFrame:
     """A written list of numbers, marked for a broadcast if it is short."""
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
 def components(one: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Written (id, component) of the linked classes of one (c, row, fp, size, sketch), whose texts are in rows (_nc_row, text)."""
-    shared = shared_keys(one, similarity)
-    met = materialize(shared.select("c").distinct(), "near-met")
-    short = materialize(one.join(_short_list(met), "c", "left_semi"), "near-short")
-    texts = rows.select("_nc_row", F.col("text").alias("t")).join(_short_list(short.select("row", "c")), F.col("_nc_row") == F.col("row")).select("c", "t")
-    texts = materialize(texts, "near-texts")
+    """Written (id, component) of the linked classes of one (c, row, fp, size, sketch, more), whose texts are in rows (_nc_row, text)."""
+    words_met = shared_keys(one, similarity)
+    groups = shared_groups(words_met, one, similarity)
+    discard(words_met)
+    shared, met = groups, materialize(groups.select("c").distinct(), "near-grouped")
+    short = materialize(one.drop("more").join(_short_list(met), "c", "left_semi"), "near-short")
+    own = {"_nc_row": "_nc_row", "_nc_fp": "fp", "_nc_size": "size", "_nc_sketch": "sketch", "text": "t"}
+    texts = rows.select(*[F.col(c).alias(to) for c, to in own.items()]).join(_short_list(short.select("row", "c")), F.col("_nc_row") == F.col("row"))
+    full = materialize(texts.select("c", "fp", "size", "sketch", "t"), "near-texts")
+    texts = full.select("c", "t")
+    # What hangs together by pairs to verify; most of it is small enough to be gone through whole.
+    whole = materialize(connected_components(shared.select(F.col("c").alias("u"), F.col("hub").alias("v"))).withColumnRenamed("component", "g"), "near-whole")
+    held = short.select("c", "size").join(whole, F.col("c") == F.col("id"))
+    fits = (F.count("*") <= MOST_CLASSES) & (F.sum("size") <= MOST_SHINGLES)
+    large = materialize(held.groupBy("g").agg(fits.alias("fits")).where("not fits").select("g"), "near-large")
+    small = materialize(whole.join(large, "g", "left_anti").select("id", "g"), "near-small")
+    at_once = verified_whole(full.join(_short_list(small), F.col("c") == F.col("id")), words, similarity)
+    shared = shared.join(whole.join(large, "g", "left_semi").select("id"), F.col("c") == F.col("id"), "left_semi")
     seen = materialize(candidates(shared, short, similarity), "near-pairs")
-    linked = materialize(connected_components(verified(seen, texts, words, similarity)), "near-linked")
+    linked = materialize(connected_components(at_once.unionByName(verified(seen, texts, words, similarity))), "near-linked")
     rest = materialize(across(shared, short, seen, linked, similarity), "near-rest")
     edges = materialize(verified_blocks(rest, texts, words, similarity), "near-edges")
     if not edges.isEmpty():
         known = linked.select(F.col("id").alias("u"), F.col("component").alias("v"))
         linked = materialize(connected_components(known.unionByName(edges)), "near-linked")
-    for old in (shared, met, short, texts, seen, rest, edges):
+    for old in (groups, met, short, full, whole, large, small, seen, rest, edges):
         discard(old)
     return linked
 
@@ -447,7 +574,7 @@ def components(one: DataFrame, rows: DataFrame, words: int, similarity: float) -
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component of texts whose shingle sets have at least this Jaccard similarity."""
     rows = classed(docs, words)
-    names = {"_nc_class": "c", "_nc_row": "row", "_nc_fp": "fp", "_nc_size": "size", "_nc_sketch": "sketch"}
+    names = {"_nc_class": "c", "_nc_row": "row", "_nc_fp": "fp", "_nc_size": "size", "_nc_sketch": "sketch", "_nc_more": "more"}
     one = materialize(rows.select(*[F.col(c).alias(to) for c, to in names.items()]).dropDuplicates(["c"]), "near-one")
     linked = components(one, rows, words, similarity)
     discard(one)

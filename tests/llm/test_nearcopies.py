@@ -239,3 +239,60 @@ def test_local_components(monkeypatch, crowd):
 
     want = components_of(n, [(i, j) for i in range(n) for j in range(i) if near(i, j)])
     assert 20 < len(set(want)) < n and nearcopies.local_components(group, fp, more, 0.8).tolist() == want
+
+
+@pytest.mark.parametrize("again", [
+    lambda spark, monkeypatch: test_all_pairs_of_the_similarity_are_linked(spark, monkeypatch, 1),
+    lambda spark, monkeypatch: test_second_round_leaves_no_pair_out(spark, monkeypatch, 3, 0),
+    lambda spark, monkeypatch: test_large_groups_keep_their_links(spark, monkeypatch),
+    lambda spark, monkeypatch: test_a_bridge_between_crowds(spark, monkeypatch),
+])
+def test_what_is_large_takes_two_rounds(spark, monkeypatch, again):
+    """The same results when nothing is small enough to be gone through whole."""
+    monkeypatch.setattr(nearcopies, "MOST_CLASSES", 0)
+    again(spark, monkeypatch)
+
+
+def test_slices_are_cut_inside_tasks(spark, monkeypatch):
+    """A group of two components of 60 classes in slices of 8: its rows are read once, and each pair across comes in one block."""
+    monkeypatch.setattr(nearcopies, "GROUP", 8)
+    sets = [nearcopies.shingles(simhash.normal_line(" ".join([f"w{i}" for i in range(200)] + [f"end{c}"])), 5) for c in range(60)]
+    rows = [(c, simhash.majority(s), len(s), nearcopies.further(s).tobytes()) for c, s in enumerate(sets)]
+    short = spark.createDataFrame([(c, c, fp - (fp >> 63 << 64), n, bytearray(x)) for c, fp, n, x in rows], "c long, row long, fp long, size long, sketch binary")
+    key = int(nearcopies.band_keys(nearcopies.words_of([x for *_, x in rows]))[0, 0])
+    shared = spark.createDataFrame([(1, c, key, 60) for c in range(60)], "k long, c long, first long, n long")
+    linked = spark.createDataFrame([(c, c // 50 * 50) for c in range(60)], "id long, component long")
+    rest = nearcopies.across(shared, short, spark.createDataFrame([], "u long, v long"), linked, 0.8)
+    assert "explode" not in rest._jdf.queryExecution().toString()
+    same = {c for c, *_, x in rows if int(nearcopies.band_keys(nearcopies.words_of([x]))[0, 0]) == key}
+    blocks = {}
+    for r in rest.collect():
+        blocks.setdefault(r.g, []).append(r)
+    pairs = [(a.c, b.c) for x in blocks.values() for a in x for b in x if a.component < b.component and (a.part != b.part or len({r.part for r in x}) == 1)]
+    found = {(a, b) for a in range(50) for b in range(50, 60) if {a, b} <= same}
+    assert len(found) > 100 and len(pairs) == len(set(pairs)) and found <= set(pairs)
+
+
+def test_what_hangs_together_is_gone_through_whole(monkeypatch):
+    """Clouds of edited copies, near the similarity: the pairs found connect what all pairs connect, whatever is tried first."""
+    rng, texts = random.Random(17), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(25):
+            edited = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 3)):
+                edited[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d"]
+    sets = [nearcopies.shingles(simhash.normal_line(t), 5) for t in texts]
+    fp, size = np.array([simhash.majority(s) for s in sets], "u8"), np.array([len(s) for s in sets])
+    more, plain = np.stack([nearcopies.further(s) for s in sets]), [plain_shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
+    want = components_of(len(texts), links)
+    assert 10 < len(set(want)) < len(texts) - 20
+    for nearest in (4, 0):
+        monkeypatch.setattr(nearcopies, "NEAREST", nearest)
+        pairs = nearcopies.linked_whole(fp, size, more, np.array(texts, object), 5, 0.8)
+        assert components_of(len(texts), pairs) == want and len(pairs) == len(texts) - len(set(want))
+    fine = nearcopies.fine_components(np.zeros(len(texts), "i8"), fp, size, more, 0.8)
+    assert all(fine[i] == fine[j] for i, j in links) and len(set(fine.tolist())) < 12
