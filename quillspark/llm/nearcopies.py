@@ -12,19 +12,22 @@ that repeats, which Jaccard doesn't see, don't move them. Only sets of four and
 their similarity; they agree in no block with probability 0.005.
 
 A table's group gives its local components of survivors, each named by its members, so one that meets in many tables is taken once; the
-group's other texts go no further. Groups below are these components.
+group's other texts go no further. A table's rows hold the key and the 128 bits only, which stand for their text. Each class then goes
+to its components (one at most in each table) with its size and all bits, and these narrow them: groups below are the components that are left.
 
-Texts with the same words in the same order (ASCII case and white space aside) are one class, so copies cost one row. Pairs are
-verified in two rounds. The first one takes, of a group of up to ``SMALL`` classes, every surviving pair, and of a larger one the
+Texts with the same words in the same order (ASCII case and white space aside) are one class, so copies cost one row. Classes that hang
+together by groups are one hoard. One of up to ``MOST_CLASSES`` classes and ``MOST_SHINGLES`` shingles is verified whole by one task: each
+class's ``NEAREST`` most alike first, then every surviving pair that isn't connected yet; its texts move once. What is larger is verified in two
+rounds. The first one takes, of a group of up to ``SMALL`` classes, every surviving pair, and of a larger one the
 tree of most alike classes that connects the group and each class with its ``NEAREST`` most alike (groups of more than ``GROUP`` classes are cut
 into slices for that, each class also meeting the group's smallest and largest class). That connects what belongs together in nearly
 all groups. The second round takes the groups whose classes are still in several components, and in them every surviving pair
-from two components that the first one didn't verify; groups of several slices meet slice by slice, and no pair is left out. A pair
-that agrees in several blocks is taken under the first of them only, and the second round's pairs are never written: a task names the
-classes that have any, gets their texts, and goes through the pairs on the spot, the most alike first, so its output is linear too.
+from two components that the first one didn't verify; a task cuts a group of more than ``GROUP`` classes into slices, which meet two by two inside
+it, and no pair is left out. A pair that agrees in several blocks is taken under the first of them only, and the second round's pairs are never
+written: a task names the classes that have any, gets their texts, and goes through the pairs on the spot, the most alike first.
 
-Pairs carry no texts. A pair is verified in one of the groups where it was found, and a text goes once to each of these; there its shingles are
-made once, and pairs that are connected already are passed over. Texts of classes that survive with no others never move, and
+Pairs carry no texts. In the two rounds a pair is verified in one of the groups where it was found, and a text goes once to each of these; there its
+shingles are made once, and pairs that are connected already are passed over. Texts of classes that survive with no others never move, and
 neither do the rows that are kept: lists of row numbers are joined to them, broadcast up to ``MOST_BROADCAST`` numbers.
 
 Everything is keyed by a row number written once, so null and repeated doc_ids and rows repeated as a whole are rows like any
@@ -267,9 +270,17 @@ def _named(root: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return some, name.view("i8")[root[some]], count[root[some]]
 
 
+def _distinct(*columns: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+    """Places of one row of each distinct one of columns, the one with the least by, in their order."""
+    order = np.lexsort((*([] if by is None else [by]), *columns[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in columns], axis=0)
+    return order[new]
+
+
 def shared_keys(one: DataFrame, similarity: float) -> DataFrame:
-    """Written (k, fp, more, first): the fingerprint and first further word of every class in each local component k of a table with others, with the
-    least key under which these met. The two words stand for the class, so that a table's rows hold nothing else."""
+    """Written (fp, more, ks, firsts): for the fingerprint and first further word of each class, its local components with others in any table and the
+    keys under which these met, at most one for each table. The two words stand for the class, so that a table's rows hold nothing else."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
@@ -281,21 +292,32 @@ def shared_keys(one: DataFrame, similarity: float) -> DataFrame:
         for key, fp, more in whole_groups(batches, ["k", "fp", "more"], 20_000):
             root = local_components(key, fp.view("u8"), more.view("u8"), similarity)
             some, name, _ = _named(root, fp.view("u8") * _FACTORS[0] ^ more.view("u8") * _FACTORS[1])
+            at = _distinct(key[some], fp[some], more[some])
+            some, name = some[at], name[at]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, fp[some], more[some], key[some])], ["g", "fp", "more", "first"])
 
     keyed = one.where("size > 0").select("fp", "more", "sketch").mapInArrow(deal, "k long, fp long, more long")
     # At least as many tasks as tables: every text has a row in each, which is much for a few tasks.
     tasks = max(BANDS, int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = keyed.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(meet, "g long, fp long, more long, first long")
-    return materialize(met.groupBy(F.col("g").alias("k"), "fp", "more").agg(F.min("first").alias("first")), "near-met")
+    return materialize(met.groupBy("fp", "more").agg(F.collect_list("g").alias("ks"), F.collect_list("first").alias("firsts")), "near-met")
 
 
 def shared_groups(met: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
-    """Written (k, c, first, n, hub): every class c in each component k of a local component of met (shared_keys) by all bits, with their number n and
-    one of them. What is alike in two words only ends here, so groups hold next to none but pairs that are verified."""
-    few = materialize(met.select("fp", "more").distinct(), "near-words")
+    """Written (k, c, first, n, hub): every class c in each component k of a local component of met (shared_keys) by all bits, with the least key under
+    which these met, their number n and one of them. What is alike in two words only ends here, so groups hold next to none but pairs that are verified."""
+    few = met.select("fp", "more")
     some = materialize(one.join(_short_list(few), ["fp", "more"], "left_semi").select("c", "fp", "more", "size", "sketch"), "near-some")
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("ks").offsets)))
+            k, first = (np.asarray(batch.column(c).flatten()) for c in ("ks", "firsts"))
+            at, own = _distinct(of, k, by=first), ["fp", "c", "size", "sketch"]
+            for part in np.array_split(at, len(at) // 10_000 + 1):
+                made = [pa.array(k[part]), pa.array(first[part]), *[batch.column(c).take(pa.array(of[part])) for c in own]]
+                yield pa.RecordBatch.from_arrays(made, ["k", "first", *own])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, fp, ids, first, size, sketch in whole_groups(batches, ["k", "fp", "c", "first", "size", "sketch"], 2_000):
             root = fine_components(group, fp.view("u8"), size, words_of(sketch), similarity)
@@ -304,10 +326,10 @@ def shared_groups(met: DataFrame, one: DataFrame, similarity: float) -> DataFram
             np.minimum.at(hub, root, ids)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, ids[rows], first[rows], n, hub[root[rows]])], ["g", "c", "first", "n", "hub"])
 
-    fine = met.join(some, ["fp", "more"]).select("k", "fp", "c", "first", "size", "sketch").repartition("k").sortWithinPartitions("k").mapInArrow(run, "g long, c long, first long, n long, hub long")
+    each = met.join(some, ["fp", "more"]).select("ks", "firsts", "fp", "c", "size", "sketch").mapInArrow(spread, "k long, first long, fp long, c long, size long, sketch binary")
+    fine = each.repartition("k").sortWithinPartitions("k").mapInArrow(run, "g long, c long, first long, n long, hub long")
     shared = materialize(fine.groupBy(F.col("g").alias("k"), "c").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.min("hub").alias("hub")), "near-shared")
-    for old in (few, some):
-        discard(old)
+    discard(some)
     return shared
 
 
