@@ -23,12 +23,13 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest id reachable for every id that has an edge: (id, component), by alternating large and small stars.
+    """Smallest id reachable for every id that has an edge: (id, component), by alternating small and large stars.
 
     edges: (u long, v long) in any direction, repeated or looped edges allowed. Each round attaches neighbours to the
-    smallest one known; a hub's neighbours are never gathered, only their minimum is. The minima are written before they are
-    joined back, so that Spark knows their size: few are broadcast, and with many both sides are plain shuffles, of which
-    adaptive execution can split a hub's. Lineage is cut each round by a written table.
+    smallest one known; a hub's neighbours are never gathered, only their minimum is. The small star comes first: an id's
+    edges to many smaller ones leave it as one, and what then repeats is gone before edges are taken in both directions. The
+    minima are written before they are joined back, so that Spark knows their size: few are broadcast, and with many both
+    sides are plain shuffles, of which adaptive execution can split a hub's. Lineage is cut each round by a written table.
     """
     def star(pairs: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
         """The rewired pairs, and the written minima that they are read from."""
@@ -52,11 +53,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = mark(pairs)
     most = seen[0]
     for _ in range(max_rounds):
-        spread, first = star(both(pairs), large=True)
-        spread = written(spread.where("u <> v").distinct(), "edges")
-        following, second = star(spread, large=False)
+        drawn, first = star(pairs, large=False)
+        drawn = written(drawn.where("u <> v").distinct(), "edges")
+        following, second = star(both(drawn), large=True)
         following = written(following.where("u <> v").distinct(), "edges")
-        for old in (pairs, spread, first, second):
+        for old in (pairs, drawn, first, second):
             discard(old)
         pairs, before, seen = following, seen, mark(following)
         if seen == before:

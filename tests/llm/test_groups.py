@@ -36,6 +36,24 @@ def test_connected_components(spark, shape):
     assert sorted(tuple(r) for r in found) == sorted((i, want[i]) for i in touched)
 
 
+def test_edges_of_shared_hubs_are_drawn_together_before_they_are_doubled(spark, monkeypatch):
+    """Ids in many groups, each with an edge to each group's hub: only about a tree's edges are taken in both directions."""
+    written, doubled, plain = [], [], common.materialize
+
+    def told(df, label):
+        if "explode" in df._jdf.queryExecution().toString() and label == "lows":
+            doubled.append(written[-1])
+        out = plain(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialize", told)
+    edges = [(20 + i, (i * 7 + k) % 20) for i in range(100) for k in range(12)]
+    found = common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted(tuple(r) for r in found) == [(i, 0) for i in range(120)]
+    assert doubled and max(doubled) < 300 < len(set(edges))
+
+
 def test_prefix(spark):
     rows = [(k, h, v) for k, n in (("a", 40), ("b", 3)) for h, v in ((random.Random(k + str(i)).randrange(-(1 << 63), 1 << 63), i) for i in range(n))]
     df = spark.createDataFrame(rows, "k string, h long, v long")
